@@ -113,7 +113,9 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     """
     known = broadcast_if_small(known)
     text = text_or_empty(text_col)
-    lines = docs.select(row_key(id_col, text_col).alias("row"), F.posexplode(canonical_lines(text)).alias("pos", "line")).filter("line <> ''")
+    # The key is made below the explode: beside it, it would be made again for each line.
+    lines = docs.select(row_key(id_col, text_col).alias("row"), canonical_lines(text).alias("all"))
+    lines = lines.select("row", F.posexplode("all").alias("pos", "line")).filter("line <> ''")
     hits = lines.select("row", "pos", F.sha2("line", 256).alias("digest")).join(known, "digest")
     notices = hits.groupBy("row").agg(F.collect_set(F.struct("pos", "license")).alias("found"))
     whole = docs.select(F.col(id_col), row_key(id_col, text_col).alias("row"), F.sha2(canonical(text), 256).alias("digest")).join(known, "digest", "left")
