@@ -1,6 +1,23 @@
-"""Every registered query with its oracle, gathered from the plan modules."""
+"""Every registered query with its oracle. Plan modules register as they are imported."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a function of (spark, sf_dir), and the DuckDB SQL with the same rows if there is one."""
+
+    def put(function: Callable) -> Callable:
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = sql
+        return function
+
+    return put
+
+
+from quarry.plans import dedup, ledger, labels, sampling, service, sources, text  # noqa: E402,F401
