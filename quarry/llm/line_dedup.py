@@ -41,7 +41,9 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10,
 def _dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
     """For each row key that loses lines, their positions."""
     frequent = broadcast_if_small(materialise(frequent_lines(docs, text_col, min_docs, min_chars).select("h1", "h2"), "lines"))
-    lines = docs.select(row_key(id_col, text_col).alias("row"), F.posexplode(_keys(text_col)).alias("pos", "key")).filter(F.length("key") >= min_chars)
+    # The row's key is made below the explode: beside it, it would be made again for each line.
+    lines = docs.select(row_key(id_col, text_col).alias("row"), _keys(text_col).alias("all"))
+    lines = lines.select("row", F.posexplode("all").alias("pos", "key")).filter(F.length("key") >= min_chars)
     return lines.select("row", "pos", *_hashed(F.col("key"))).join(frequent, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_set("pos").alias("lost"))
 
 
