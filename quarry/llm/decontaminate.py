@@ -21,10 +21,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from quarry.llm.shared import ascii_lower, broadcast_if_small, materialise, row_key, text_or_empty
+from quarry.llm.shared import BROADCAST_ROWS, ascii_lower, broadcast_if_small, materialise, row_key, text_or_empty
 
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 WINDOW = 10
@@ -62,7 +61,8 @@ def ranked_terms(windows: DataFrame, counts: DataFrame, depth: int = 2) -> DataF
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The inverted index: term, row, pos for each occurrence of ``terms`` in the corpus."""
-    tokens = docs.select(row_key(id_col, text_col).alias("row"), F.posexplode(words(text_col)).alias("pos", "term"))
+    # The key is made below the explode: beside it, it would be made again for each word.
+    tokens = docs.select(row_key(id_col, text_col).alias("row"), words(text_col).alias("all")).select("row", F.posexplode("all").alias("pos", "term"))
     return tokens.join(broadcast_if_small(terms), "term", "left_semi").select("term", "row", "pos")
 
 
@@ -86,15 +86,27 @@ def _candidates(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: st
     index = materialise(postings(docs, anchors, id_col, text_col), "postings")
     found = materialise(candidate_starts(index, ranked), "candidates")
     told = found.join(broadcast_if_small(windows), "wid").groupBy("row").agg(F.collect_list(F.struct("start", "terms", "items")).alias("cands"))
-    return told if found.count() > 200_000 else F.broadcast(told)
+    return _broadcast_told(found, told)
+
+
+def _broadcast_told(found: DataFrame, told: DataFrame) -> DataFrame:
+    """Candidates carry their terms, so the bound is half that of narrow rows."""
+    return F.broadcast(told) if found.count() <= BROADCAST_ROWS // 2 else told
 
 
 def _matched(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int) -> DataFrame:
-    """The input with __q_words and __q_hits, the exact phrase matches among the candidates."""
+    """The input with __q_told: n_words, and hits, the exact phrase matches among the candidates."""
     cands = _candidates(docs, benchmark, id_col, text_col, item_col, item_text, window).select(F.col("row").alias("__q_row"), F.col("cands").alias("__q_cands"))
-    met = docs.withColumn("__q_row", row_key(id_col, text_col)).join(cands, "__q_row", "left").withColumn("__q_words", words(text_col))
-    exact = F.filter("__q_cands", lambda c: F.slice(F.col("__q_words"), c["start"] + 1, F.size(c["terms"])) == c["terms"])
-    return met.withColumn("__q_hits", F.coalesce(exact, F.expr("filter(array(struct(0 AS start, array('') AS terms, array('') AS items)), x -> false)")))
+    met = docs.withColumn("__q_row", row_key(id_col, text_col)).join(cands, "__q_row", "left")
+    listed = F.coalesce("__q_cands", F.expr("filter(array(struct(0 AS start, array('') AS terms, array('') AS items)), x -> false)"))
+
+    def compared(held: Column) -> Column:
+        # Term by term: slice() would copy the whole list of words for each candidate.
+        exact = F.filter(listed, lambda c: F.forall(F.sequence(F.lit(0), F.size(c["terms"]) - 1), lambda i: F.get(held, c["start"] + i) == F.get(c["terms"], i)))
+        return F.struct(F.size(held).alias("n_words"), exact.alias("hits"))
+
+    # As the variable of a lambda the words are split once a row, however many candidates refer to them.
+    return met.withColumn("__q_told", F.get(F.transform(F.array(words(text_col)), compared), 0))
 
 
 def decontaminate(
@@ -102,14 +114,14 @@ def decontaminate(
 ) -> DataFrame:
     """One row for each input row: id, n_words, n_hit, items (sorted ids as strings), contaminated."""
     met = _matched(docs, benchmark, id_col, text_col, item_col, item_text, window)
-    covered = F.flatten(F.transform("__q_hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["terms"]) - 1)))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("__q_hits", lambda h: h["items"]))))
+    covered = F.flatten(F.transform("__q_told.hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["terms"]) - 1)))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("__q_told.hits", lambda h: h["items"]))))
     return met.select(
         id_col,
-        F.size("__q_words").cast("long").alias("n_words"),
+        F.col("__q_told.n_words").cast("long").alias("n_words"),
         F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
         items.alias("items"),
-        (F.size("__q_hits") > 0).alias("contaminated"),
+        (F.size("__q_told.hits") > 0).alias("contaminated"),
     )
 
 
@@ -118,7 +130,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """The input's rows and columns without documents that hold any window of the benchmark."""
     met = _matched(docs, benchmark, id_col, text_col, item_col, item_text, window)
-    return met.filter(F.size("__q_hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return met.filter(F.size("__q_told.hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def proximity_matches(
