@@ -56,7 +56,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{scratch_dir(spark)}/quarry-{what}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/quarry-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder, once its results are stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/quarry-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:

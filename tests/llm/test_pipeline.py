@@ -19,3 +19,18 @@ def test_stages_take_effect(spark, small):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_near_dedup_stage_against_all_pairs(spark, small):
+    """Every document that goes has a kept or dropped partner of similarity 0.8; nine pairs in ten lose a member."""
+    from quarry.llm.exact_dedup import drop_duplicates
+    from quarry.llm.simhash import jaccard, shingle_set
+
+    docs = corpus_pipeline.materialise(drop_duplicates(spark.read.parquet(f"{small}/documents.parquet")), "test")
+    sets = {r.doc_id: shingle_set(r.text, 5) for r in docs.collect()}
+    ids = sorted(sets)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and jaccard(sets[a], sets[b]) >= 0.8]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, small).collect()}
+    gone = set(ids) - kept
+    assert gone <= {x for p in pairs for x in p}
+    assert sum(a in gone or b in gone for a, b in pairs) >= 0.9 * len(pairs)
