@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quarry.sources.scratch import scratch_dir
+
 UNKNOWN_SOURCE = 1 << 20
 
 
@@ -117,17 +119,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; a temporary one on a local master where it is unset."""
+    """A checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="quarry-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint()
 
 

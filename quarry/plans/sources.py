@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.plans.registry import query
 from quarry.sources import raw as r
 from quarry.sources.corpus import CORPUS_SQL, corpus, table
+from quarry.sources.scratch import scratch_dir
 
 C = "WITH " + CORPUS_SQL
 
@@ -98,8 +99,7 @@ def stream_first_turns(spark, sf):
 
     from quarry.streaming import ingest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    base = f"{base.rstrip('/')}/quarry-stream-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/quarry-stream-{uuid.uuid4().hex}"
     turns = table(spark, sf, "conversations")
     turns.write.parquet(f"{base}/in")
     ingest.run_once(ingest.first_user_turns(spark, f"{base}/in", turns.schema), f"{base}/out", f"{base}/state")
