@@ -7,8 +7,9 @@ normaliser nor its splitter looks across it.
 
 The table holds every word whose share of all words is at least 1 in
 ``table_words`` and that has at most 64 characters, so its size is bounded and it can
-be sent to every task. Rarer words are encoded where they stand, once for each batch that holds them:
-sending them through a shuffle join costs more than the whole text does.
+be sent to every task. Rarer words are encoded where they stand, once for a task as
+long as it remembers them: sending them through a shuffle join costs more than the
+whole text does.
 
 Null and empty texts have no tokens; special tokens in a text are found as the
 library finds them. Repeated rows get the same result, an empty table an empty
@@ -33,6 +34,8 @@ ship(__name__)
 #: Most rows of the table that goes to every task, and most characters of a word there.
 TABLE_WORDS = 100_000
 WORD_CHARS = 64
+#: Most rarer words that a task remembers.
+SEEN_WORDS = 100_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -52,28 +55,57 @@ def read_vocabulary(path: str) -> str:
     return told
 
 
-def _entries(words: list[str], tokenizer: Tokenizer) -> dict[str, tuple[str, str, int]]:
-    """word -> (ids joined by spaces, pieces joined by spaces, number of ids)."""
-    done = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-    piece = tokenizer.id_to_token
-    return {w: (" ".join(map(str, e.ids)), " ".join(map(piece, e.ids)), len(e.ids)) for w, e in zip(words, done)}
+class _Encoder:
+    """Encodes distinct words, many in one text: a special token parts them, which the
+    library takes out before it normalises or splits what stands around it."""
+
+    def __init__(self, vocabulary: str):
+        self.tokenizer = load(vocabulary)
+        mark = next(t for t in json.loads(vocabulary)["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]))
+        self.mark, self.sign = mark["content"], mark["id"]
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.pieces = dict(zip(names.values(), names))
+        self.digits = {i: str(i) for i in self.pieces}
+
+    def entries(self, words: list[bytes]) -> dict[bytes, tuple[str, str]]:
+        """word -> (ids, pieces), each joined by spaces; both empty for a word without tokens."""
+        plain = [w.decode("utf-8") for w in words]
+        odd = [i for i, w in enumerate(plain) if self.mark in w]
+        found = {words[i]: self._told(self._ids(plain[i])) for i in odd}
+        held = [(b, w) for b, w in zip(words, plain) if b not in found]
+        for at in range(0, len(held), 1000):
+            some = held[at : at + 1000]
+            ids, start = self._ids(self.mark.join(w for _, w in some)), 0
+            for b, _ in some:
+                try:
+                    end = ids.index(self.sign, start)
+                except ValueError:
+                    end = len(ids)
+                found[b], start = self._told(ids[start:end]), end + 1
+        return found
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _told(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join([self.digits[i] for i in ids]), " ".join([self.pieces[i] for i in ids])
 
 
 def word_table(docs: DataFrame, vocabulary: str, text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
-    """Frequent distinct words, each encoded once: word, ids, pieces, n."""
+    """Frequent distinct words, each encoded once: word (UTF-8), ids, pieces."""
     words = docs.select(F.explode(F.split(text_or_empty(text_col), _SPACE)).alias("word")).filter((F.col("word") != "") & (F.length("word") <= WORD_CHARS))
     counts = materialise(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = counts.filter(F.col("n") * table_words >= total).select("word")
 
     def run(batches):
-        tokenizer = load(vocabulary)
+        encoder = _Encoder(vocabulary)
         for batch in batches:
-            found = _entries(batch.column("word").to_pylist(), tokenizer)
-            columns = list(zip(*found.values())) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64())))], names=["word", "ids", "pieces", "n"])
+            found = encoder.entries([w.encode("utf-8") for w in batch.column("word").to_pylist()])
+            ids, told = [v[0] for v in found.values()], [v[1] for v in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(ids, pa.string()), pa.array(told, pa.string())], names=["word", "ids", "pieces"])
 
-    return frequent.mapInArrow(run, "word string, ids string, pieces string, n long")
+    return frequent.mapInArrow(run, "word binary, ids string, pieces string")
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS, digests: bool = False) -> DataFrame:
@@ -82,40 +114,35 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     ``ids`` are decimal and joined by one space. With ``digests`` the last two are
     lower-case hex SHA-256 of their UTF-8 instead, named ids_sha256, decoded_sha256.
     """
-    table = {r[0]: tuple(r[1:]) for r in word_table(docs, vocabulary, text_col, table_words).toLocalIterator()}  # at most table_words rows
+    table = {bytes(r[0]): (r[1], r[2]) for r in word_table(docs, vocabulary, text_col, table_words).toLocalIterator()}  # at most table_words rows
     sent = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["id", "n_tokens", "ids", "decoded"]
 
     def told(s):
-        return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest() if digests else s
+        return hashlib.sha256(s.encode("utf-8")).hexdigest() if digests else s
 
     def run(batches):
-        tokenizer, common = load(vocabulary), sent.value
+        encoder, common, seen = _Encoder(vocabulary), sent.value, {}
         for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                out, texts = [], [t.as_py() or "" for t in part.column("text")]
-                split = [_split(t) for t in texts]
-                rare = _entries(list({w for words in split for w in words if w not in common}), tokenizer)
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                # bytes.split parts words at the ASCII white space that Spark's split knows.
+                split = [(t.as_py() or "").encode("utf-8").split() for t in part.column("text")]
+                if len(seen) > SEEN_WORDS:
+                    seen.clear()
+                seen.update(encoder.entries(list({w for words in split for w in words if w not in common and w not in seen})))
+                counts, ids, decoded = [], [], []
                 for words in split:
-                    met = [common.get(w) or rare[w] for w in words]
-                    met = [m for m in met if m[2]]
-                    out.append((sum(m[2] for m in met), told(" ".join(m[0] for m in met)), told(" ".join(m[1] for m in met))))
-                columns = list(zip(*out)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string())))], names=names)
+                    met = [common.get(w) or seen[w] for w in words]
+                    ids.append(told(one := " ".join([m[0] for m in met if m[0]])))
+                    decoded.append(told(" ".join([m[1] for m in met if m[0]])))
+                    counts.append(one.count(" ") + 1 if one else 0)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=names)
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField(names[2], T.StringType()), T.StructField(names[3], T.StringType())])
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-_BLANKS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-
-
-def _split(text: str) -> list[str]:
-    """At the same ASCII white space as Spark's split; empty words go."""
-    return [w for w in text.translate(_BLANKS).split(" ") if w]
-
-
 def pieces(vocabulary: str, spark) -> DataFrame:
     """The id-to-piece table (id, piece): as many rows as the vocabulary."""
     whole = sorted((i, p) for p, i in load(vocabulary).get_vocab(with_added_tokens=True).items())
