@@ -10,11 +10,14 @@ hashing without false negatives").
 
 Null and empty texts have no features; their fingerprint is zero and links like
 any other. Equal fingerprints are one node, so copies are never paired.
+
+The pipeline's near-duplicate stage uses no fingerprints: pairs of a Jaccard
+similarity meet exactly, through the prefixes of their shingle sets.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from itertools import islice
 
@@ -56,16 +59,12 @@ def shingle_hashes(words: list[bytes], n: int) -> Iterator[int]:
     return (xxhash.xxh64_intdigest(s, seed=SEED) for s in map(b" ".join, zip(*(islice(words, i, None) for i in range(n)))))
 
 
-def _majority(hashes: Iterator[int], weights: Iterator[int] | None = None) -> int:
-    """Bits set in over half the weight; chunks bound the memory of a very long text."""
+def _majority(hashes: Iterator[int]) -> int:
+    """Bits set in over half the hashes; chunks bound the memory of a very long text."""
     total, ones = 0, np.zeros(64, np.int64)
     while chunk := list(islice(hashes, _CHUNK)):
         bits = np.unpackbits(np.array(chunk, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        if weights is None:
-            ones, total = ones + bits.sum(0, dtype=np.int64), total + len(chunk)
-        else:
-            w = np.array(list(islice(weights, len(chunk))), np.int64)
-            ones, total = ones + w @ bits, total + int(w.sum())
+        ones, total = ones + bits.sum(0, dtype=np.int64), total + len(chunk)
     return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little", signed=True)
 
 
@@ -73,12 +72,6 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return _majority(shingle_hashes(_words(text), shingle))
 
 
-def word_fingerprint(text: str | None, most: int = 4) -> int:
-    """Over single words, each weighing its count up to ``most``: small edits move few bits."""
-    counts = Counter(_words(text))
-    return _majority((xxhash.xxh64_intdigest(w, seed=SEED) for w in counts), (min(n, most) for n in counts.values()))
-
-
 def _mapped(docs: DataFrame, key: Column, text_col: str, outputs: list, fields: str) -> DataFrame:
     """Key and one 64-bit result of each function in ``outputs`` for each row's text."""
     rows = docs.select(key.alias("key"), F.col(text_col).alias("text"))
@@ -156,70 +149,110 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-_SALTS = np.array([xxhash.xxh64_intdigest(bytes([i]), seed=SEED) | 1 for i in range(32)], np.uint64)
-
-
-def _sketch(text: str | None, n: int) -> tuple[bytes, int]:
-    """32 minima of a text's shingle set under multiplied hashes, 16 bits each, and the set's size."""
-    found = shingle_set(text, n)
-    if not len(found):
-        return bytes(64), 0
-    least = [((found * s) >> np.uint64(16)).min() for s in _SALTS]
-    return (np.array(least, np.uint64) & np.uint64(0xFFFF)).astype("<u2").tobytes(), len(found)
+#: One row in SAMPLED tells which shingles are common; at most COMMON of them are sent to the tasks.
+SAMPLED, COMMON = 20, 200_000
+#: Bits of a set's parity bitmap.
+PARITY = 1024
+#: Members of a list that one task compares with the whole list.
+SALTED = 256
+_PAIR = ["a", "b", "ka", "kb"]
 
 
-def _prints_and_sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def _batched(docs: DataFrame, id_col: str, text_col: str, run, schema: str, where: Column | None = None) -> DataFrame:
+    """``run`` over parts of 256 rows (row, k, id, text); k is 64 bits of the row key."""
     rows = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.select("row", F.xxhash64("row").alias("k"), "id", "text")
+    rows = rows if where is None else rows.filter(where)
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                texts = [t.as_py() for t in part.column("text")]
-                marks = [_sketch(t, shingle) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("id"), pa.array([word_fingerprint(t) for t in texts], pa.int64()), pa.array([m[0] for m in marks], pa.binary()), pa.array([m[1] for m in marks], pa.int64())],
-                    names=["row", "id", "fp", "sketch", "n"],
-                )
-
-    schema = T.StructType([T.StructField("row", T.BinaryType()), T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("n", T.LongType())])
-    return rows.mapInArrow(run, schema)
+            for i in range(0, batch.num_rows, 256):
+                yield run(batch.slice(i, 256))
 
+    return rows.mapInArrow(parts, schema.format(id=rows.schema["id"].dataType.simpleString()))
 
-def _likely(batches):
-    """Pairs whose set sizes allow 0.8 and whose sketches agree in 18 places of 32."""
-    for batch in batches:
-        a = np.frombuffer(b"".join(batch.column("sa").to_pylist()), "<u2").reshape(-1, 32)
-        b = np.frombuffer(b"".join(batch.column("sb").to_pylist()), "<u2").reshape(-1, 32)
-        yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= 18))
 
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several sampled rows hold, and how many do.
+
+    They only set the order in which a set's shingles are taken; any order that all
+    rows share finds the same pairs, so the sample bounds work, never results.
+    """
+
+    def run(part):
+        found = [shingle_set(t.as_py(), shingle) for t in part.column("text")]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64())], names=["token"])
+
+    tokens = _batched(docs, id_col, text_col, run, "token long", F.pmod("k", F.lit(SAMPLED)) == 0)
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "token").limit(COMMON)
+    told = counts.toPandas()  # at most COMMON rows
+    hashes, n = told["token"].to_numpy(np.int64).view(np.uint64), told["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
 
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 5, bucket: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, id) and verified edges (a, b) between row keys.
 
-    Candidates collide in a covering table of their word fingerprints; an edge is
-    kept where the exact Jaccard similarity of the whole texts' shingle sets is at
-    least ``similarity``. Every pair of a bucket of up to ``bucket`` members is a
-    candidate; each member of a larger one meets the bucket's first and last
-    member, in all its tables. A sketch and the sets' sizes thin candidates out
-    before any text is read again.
+def prefix(found: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first len - ceil(similarity * len) + 1 of a sorted set's hashes, common ones last.
+
+    Two sets of at least that Jaccard similarity share as many as ``similarity``
+    times the larger's members, so their prefixes under one order meet.
     """
-    rows = materialise(_prints_and_sketches(docs, id_col, text_col, shingle), "sketches").dropDuplicates(["row"])
-    rows = materialise(rows, "rows")
-    cells = _tables(rows.select("row", "fp"), "row", radius)
-    sizes = cells.groupBy("t", "cell").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last")).filter("n > 1")
-    met = materialise(cells.join(sizes, ["t", "cell"]), "cells")
-    small = met.filter(F.col("n") <= bucket)
-    pairs = small.select("t", "cell", F.col("row").alias("a")).join(small.select("t", "cell", F.col("row").alias("b")), ["t", "cell"]).filter("a < b").select("a", "b")
-    large = met.filter(F.col("n") > bucket)
-    stars = large.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("row").alias("b")), F.struct(F.col("row").alias("a"), F.col("last").alias("b")))).alias("p")).select("p.*").filter("a <> b")
-    candidates = pairs.unionByName(stars).distinct()
-    marks = rows.select("row", "sketch", "n")
-    close = candidates.join(marks.toDF("a", "sa", "na"), "a").join(marks.toDF("b", "sb", "nb"), "b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * similarity)
-    likely = materialise(close.select("a", "b", "sa", "sb").mapInArrow(_likely, "a binary, b binary"), "likely")
+    size = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
+    if not len(common):
+        return found[:size]
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    n = np.where(common[at] == found, counts[at], 0)
+    return found[np.argsort(n, kind="stable")[:size]]
+
+
+def _parity(found: np.ndarray) -> bytes:
+    """Bit i is set where an odd number of the set's hashes fall on it."""
+    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """For each row: keys, id, size and digest of its shingle set, parity bitmap and prefix."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col, shingle))
+
+    def run(part):
+        sets = [shingle_set(t.as_py(), shingle) for t in part.column("text")]
+        firsts = [prefix(x, similarity, *sent.value) for x in sets]
+        ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+        made = [
+            pa.array([len(x) for x in sets], pa.int64()),
+            pa.array([xxhash.xxh128_digest(x.tobytes(), seed=SEED) for x in sets], pa.binary()),
+            pa.array([_parity(x) for x in sets], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64), pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), part.column("id"), *made], names=["row", "k", "id", "n", "digest", "parity", "prefix"])
+
+    return _batched(docs, id_col, text_col, run, "row binary, k long, id {id}, n long, digest binary, parity binary, prefix array<bigint>")
+
+
+def _possible(similarity: float):
+    """Pairs whose bitmaps differ in no more bits than sets of that similarity can differ in members."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in ("pa", "pb"))
+            most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (1 - similarity) / (1 + similarity) + 1e-6
+            yield batch.select(_PAIR).filter(pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most))
+
+    return run
+
+
+def _verified(candidates: DataFrame, marks: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The candidates (ka, kb) whose whole texts are similar, with their row keys a, b."""
+    one = marks.select("k", "row", "n", "parity")
+    close = candidates.join(one.toDF("ka", "a", "na", "pa"), "ka").join(one.toDF("kb", "b", "nb", "pb"), "kb")
+    close = close.filter(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6)
+    schema = "a binary, b binary, ka long, kb long"
+    likely = materialise(close.select(*_PAIR, "na", "nb", "pa", "pb").mapInArrow(_possible(similarity), schema), "likely")
     wanted = broadcast_if_small(materialise(likely.select(F.col("a").alias("row")).union(likely.select("b")).distinct(), "wanted"))
     texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(wanted, "row", "left_semi").dropDuplicates(["row"])
 
-    def verified(batches):
+    def run(batches):
         sets: dict = {}
         for batch in batches:
             keep = []
@@ -228,15 +261,53 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if one not in sets:
                     sets = {one: shingle_set(batch.column("ta")[i].as_py(), shingle)}  # pairs come sorted by a
                 keep.append(jaccard(sets[one], shingle_set(batch.column("tb")[i].as_py(), shingle)) >= similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(_PAIR).filter(pa.array(keep, pa.bool_()))
 
     held = likely.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-    return rows.select("row", "id"), held.select("a", "b", "ta", "tb").mapInArrow(verified, "a binary, b binary")
+    return materialise(held.select(*_PAIR, "ta", "tb").mapInArrow(run, schema), "verified")
+
 
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, id) and verified edges (a, b) between row keys.
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
+    The edges' components are those of all pairs whose shingle sets have an exact
+    Jaccard similarity of at least ``similarity``. Equal sets are one node. Sets
+    that similar share a shingle of their prefixes (rarest first), and so meet in a
+    list. Each member is first compared with the least and the greatest of its
+    lists; then every pair of a list that the edges found so far do not connect.
+    """
+    marks = materialise(_marks(docs, id_col, text_col, shingle, similarity), "marks")
+    heads = materialise(marks.groupBy("digest").agg(F.min("k").alias("head"), F.max("k").alias("tail")).filter("head < tail").select("digest", "head"), "heads")
+    alike = materialise(marks.select("digest", "row", "k").join(broadcast_if_small(heads), "digest").select("digest", "row", "k", "head"), "alike")
+    first = alike.filter("k = head").select("digest", F.col("row").alias("a")).distinct()
+    equal = alike.filter("k <> head").select("digest", F.col("row").alias("b")).join(first, "digest").select("a", "b")
+    nodes = marks.join(broadcast_if_small(materialise(alike.filter("k <> head").select("k").distinct(), "copies")), "k", "left_anti")
+
+    postings = nodes.select("k", F.explode("prefix").alias("token"))
+    tokens = postings.groupBy("token").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
+    lists = materialise(postings.join(broadcast_if_small(materialise(tokens, "tokens")), "token").distinct(), "lists")
+    marked = lists.select("k").distinct()
+    marked = materialise(marks.select("k", "row", "n", "parity").join(broadcast_if_small(materialise(marked, "listed")), "k", "left_semi").dropDuplicates(["row"]), "marked")
+
+    stars = lists.select(F.explode(F.array(F.struct(F.col("first").alias("ka"), F.col("k").alias("kb")), F.struct(F.col("k").alias("ka"), F.col("last").alias("kb")))).alias("p")).select("p.*")
+    near = _verified(stars.filter("ka <> kb").distinct(), marked, docs, id_col, text_col, shingle, similarity)
+
+    roots = connected_components(near.select("ka", "kb")).withColumnRenamed("node", "k")
+    placed = lists.select("token", "k").join(marked.select("k", "n").distinct(), "k").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    placed = materialise(placed, "placed")
+    apart = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).filter("low < high")
+    left = materialise(placed.join(broadcast_if_small(materialise(apart.select("token", F.ceil(F.col("held") / SALTED).alias("parts")), "apart")), "token"), "left")
+    # A long list is dealt out: each part of it meets the whole list in a task of its own.
+    some = left.select("token", F.pmod(F.xxhash64("k"), "parts").alias("part"), F.col("k").alias("ka"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    whole = left.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("k").alias("kb"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    pairs = some.join(whole, ["token", "part"]).filter((F.col("ra") != F.col("rb")) & (F.col("ka") < F.col("kb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6))
+    far = _verified(pairs.select("ka", "kb").distinct(), marked, docs, id_col, text_col, shingle, similarity)
+    return marks.select("row", "id").dropDuplicates(["row"]), equal.unionByName(near.select("a", "b")).unionByName(far.select("a", "b"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The input's rows and columns with one document of each group: the smallest id stays, nulls last."""
-    rows, edges = similar_links(docs, id_col, text_col, shingle, similarity, radius)
+    rows, edges = similar_links(docs, id_col, text_col, shingle, similarity)
     placed = connected_components(edges).join(rows.withColumnRenamed("row", "node"), "node")
     order = F.struct(F.col("id").isNull().alias("late"), F.col("id").alias("id"), F.col("node").alias("row"))
     firsts = placed.groupBy("root").agg(F.min(order).alias("first"))

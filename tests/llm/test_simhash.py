@@ -103,3 +103,20 @@ def test_near_duplicates_of_the_pipeline(spark, no_docs):
     assert ids >= {1000 + i for i in range(60) if i % 3} | {5000, None} and 5001 not in ids
     assert s.drop_near_duplicates(no_docs).count() == 0
     assert s.near_duplicates(no_docs).count() == 0
+
+
+def test_copies_of_one_original_hang_together(spark):
+    """Copies are 0.8 like the original but not like each other; it is neither first nor last of anything."""
+    rng = random.Random(11)
+    original = ["w%d" % rng.randrange(10**6) for _ in range(200)]
+    rows = [(300, " ".join(original))]
+    for i in range(600):
+        words = list(original)
+        for at in rng.sample(range(10, 190), 4):
+            words[at] = "x%d" % rng.randrange(10**9)
+        rows.append((i if i < 300 else i + 1, " ".join(words)))
+    sets = {i: s.shingle_set(t, 5) for i, t in rows}
+    near = [i for i in sets if s.jaccard(sets[i], sets[300]) >= 0.8]
+    assert len(near) > 500 and s.jaccard(sets[0], sets[1]) < 0.8
+    kept = {r.doc_id for r in s.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept & set(near) == {min(near)}
