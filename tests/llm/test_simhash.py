@@ -120,3 +120,33 @@ def test_copies_of_one_original_hang_together(spark):
     assert len(near) > 500 and s.jaccard(sets[0], sets[1]) < 0.8
     kept = {r.doc_id for r in s.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept & set(near) == {min(near)}
+
+
+@pytest.mark.parametrize("common", [0, 200_000])
+def test_every_similar_pair_is_found(spark, monkeypatch, common):
+    """Cut, extended and edited copies, short and long, against all pairs; the order of shingles changes nothing."""
+    monkeypatch.setattr(s, "SAMPLED", 1 if common else s.SAMPLED)
+    rng = random.Random(12)
+    rows = []
+    for size in (1, 3, 5, 8, 12, 20, 60, 300, 1500):
+        for _ in range(12):
+            words = ["w%d" % min(int(rng.paretovariate(0.6)), 10**6) for _ in range(size)]
+            more = ["w%d" % rng.randrange(10**6) for _ in range(max(1, size // 6))]
+            edited = list(words)
+            edited[rng.randrange(size)] = "changed"
+            rows += [words, words + more, more + words, words[: max(1, size - size // 6)], edited, [w.upper() for w in words]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)] + [(9000, None), (9001, " ")]
+    sets = {i: s.shingle_set(t, 5) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and s.jaccard(sets[a], sets[b]) >= 0.8:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    kept = sorted(r.doc_id for r in s.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [i for i in sets if find(i) == i]
