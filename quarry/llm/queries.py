@@ -46,7 +46,7 @@ def op3_simhash(spark, sf_dir: str):
 
 
 def op4_line_dedup(spark, sf_dir: str):
-    out = line_dedup(table(spark, sf_dir, "documents"))
+    out = line_dedup(table(spark, sf_dir, "documents"), by_id=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

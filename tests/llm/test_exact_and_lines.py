@@ -66,3 +66,18 @@ def test_line_dedup(odd, documents, monkeypatch, broadcast):
         docs = docs.withColumn("h1", F.lit(1)).withColumn("lost", F.lit(1))
         rows = [(r.doc_id, r.text) for r in docs.collect()]
         assert order(line_dedup.line_dedup(docs, min_docs=least).collect()) == order(brute_lines(rows, least))
+
+
+def test_repeated_rows_are_one_document_to_op4(spark, tmp_path):
+    """A document listed ten times is one; a line that ten documents hold still goes."""
+    import duckdb
+
+    from quarry.llm import queries
+
+    rows = [(1, "listed often\nshared")] * 10 + [(i, f"shared\nown {i}") for i in range(2, 11)] + [(11, "listed often\nshared\nother"), (None, "other")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(queries.OP4_SQL).fetchall() if r[0] not in (1, None)}  # the SQL gathers repeated rows
+    got = {r[0]: tuple(r)[1:] for r in queries.op4_line_dedup(spark, str(tmp_path)).collect() if r[0] not in (1, None)}
+    assert got == want and got[11][1] == 1
