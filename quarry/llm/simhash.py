@@ -268,7 +268,7 @@ def _verified(candidates: DataFrame, marks: DataFrame, docs: DataFrame, id_col:
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, id) and verified edges (a, b) between row keys.
+    """Rows (row, id, times listed) and verified edges (a, b) between row keys.
 
     The edges' components are those of all pairs whose shingle sets have an exact
     Jaccard similarity of at least ``similarity``. Equal sets are one node. Sets
@@ -302,14 +302,22 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = left.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("k").alias("kb"), F.col("root").alias("rb"), F.col("n").alias("nb"))
     pairs = some.join(whole, ["token", "part"]).filter((F.col("ra") != F.col("rb")) & (F.col("ka") < F.col("kb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6))
     far = _verified(pairs.select("ka", "kb").distinct(), marked, docs, id_col, text_col, shingle, similarity)
-    return marks.select("row", "id").dropDuplicates(["row"]), equal.unionByName(near.select("a", "b")).unionByName(far.select("a", "b"))
+    return marks.groupBy("row").agg(F.min("id").alias("id"), F.count("*").alias("times")), equal.unionByName(near.select("a", "b")).unionByName(far.select("a", "b"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The input's rows and columns with one document of each group: the smallest id stays, nulls last."""
+    """The input's rows and columns with one document of each group: the smallest id stays, nulls last.
+
+    Of rows that repeat both id and text, null ids included, one stays.
+    """
     rows, edges = similar_links(docs, id_col, text_col, shingle, similarity)
-    placed = connected_components(edges).join(rows.withColumnRenamed("row", "node"), "node")
+    placed = connected_components(edges).join(rows.select(F.col("row").alias("node"), "id"), "node")
     order = F.struct(F.col("id").isNull().alias("late"), F.col("id").alias("id"), F.col("node").alias("row"))
     firsts = placed.groupBy("root").agg(F.min(order).alias("first"))
     lost = materialise(placed.join(firsts, "root").filter("node <> first.row").select(F.col("node").alias("__q_row")), "lost")
-    return docs.withColumn("__q_row", row_key(id_col, text_col)).join(broadcast_if_small(lost), "__q_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.withColumn("__q_row", row_key(id_col, text_col)).join(broadcast_if_small(lost), "__q_row", "left_anti")
+    again = materialise(rows.filter("times > 1").select(F.col("row").alias("__q_row")), "again")
+    if not again.isEmpty():  # only repeated rows are shuffled with their texts
+        again = broadcast_if_small(again)
+        kept = kept.join(again, "__q_row", "left_anti").unionByName(kept.join(again, "__q_row", "left_semi").dropDuplicates(["__q_row"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -34,3 +34,12 @@ def test_near_dedup_stage_against_all_pairs(spark, small):
     gone = set(ids) - kept
     assert gone <= {x for p in pairs for x in p}
     assert sum(a in gone or b in gone for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_dedup_stages_keep_one_of_repeated_rows(spark, small):
+    """Rows that repeat id and text, and equal texts whose ids are all null."""
+    words = " ".join("w%d" % i for i in range(40))
+    rows = [(1, "one " + words[:60])] * 4 + [(None, "two " + words[60:])] * 3 + [(2, None)] * 2 + [(3, "three " + words[100:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.near_dedup_stage(spark, corpus_pipeline.materialise(corpus_pipeline.exact_dedup_stage(spark, docs, small), "test"), small)
+    assert sorted((r.doc_id for r in out.collect()), key=repr) == [1, 2, 3, None]
