@@ -50,3 +50,15 @@ def test_oracles(spark, small, name):
     got = queries.QUERIES[name](spark, small).toPandas()
     plain = lambda d: sorted(repr(tuple(None if v is None or v != v else str(v).removesuffix(".0") for v in r)) for r in d[sorted(d.columns)].astype(object).itertuples(index=False, name=None))
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
+
+
+def test_whole_texts_of_the_longer_licences(spark):
+    from pathlib import Path
+
+    held = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(li.__file__).parent / "license_texts").glob("*.txt"))]
+    assert [n for n, _ in held] == ["Apache-2.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "MPL-2.0"]
+    held += [(n, t.partition("END OF TERMS AND CONDITIONS")[0]) for n, t in held]
+    held += [("BSD-3-Clause", "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + li._BSD_HEAD + li._BSD_NAMES + li._BSD_TAIL), ("BSD-2-Clause", "Copyright (c) 2020, Someone\n\n" + li._BSD_HEAD + li._BSD_TAIL)]
+    docs = spark.createDataFrame([(i, "  " + t.replace("\n", "\r\n")) for i, (_, t) in enumerate(held)], "doc_id long, text string")
+    got = {r.doc_id: r.text_license for r in li.license_scan(docs, li.known_licenses(spark)).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(held)}
