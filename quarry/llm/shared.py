@@ -77,9 +77,55 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(table: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a materialised table for broadcast if a count shows that it is small.
 
     A larger one is left to a shuffled join, whose hot keys adaptive execution splits.
+    The bound is ``BROADCAST_ROWS`` as it stands at the call.
     """
-    return F.broadcast(table) if table.count() <= rows else table
+    return F.broadcast(table) if table.count() <= (BROADCAST_ROWS if rows is None else rows) else table
+
+
+#: Bits of a slice of a key filter (the fixed size of bitmap_construct_agg) and of the largest filter: 32 MB.
+_SLICE, FILTER_BITS = 1 << 15, 1 << 28
+
+
+def _place(key: Column) -> Column:
+    return F.xxhash64(F.lit("place"), key)
+
+
+def key_filter(keys: DataFrame) -> tuple[DataFrame, int]:
+    """A bitmap of the materialised keys (one column): its slices and their number.
+
+    It has 16 bits or more for each key up to ``FILTER_BITS`` in all, so its size is
+    bounded whatever the number of keys. It knows every key; of others it takes a
+    few for keys, and more as it fills up, so what it lets through is a superset.
+    """
+    n = keys.count()
+    slices = 1 << max(0, (min(FILTER_BITS, 16 * n) // _SLICE - 1).bit_length())
+    place = _place(F.col(keys.columns[0]))
+    bits = keys.select(F.pmod(F.shiftright(place, 15), F.lit(slices)).cast("int").alias("slice"), place.bitwiseAND(F.lit(_SLICE - 1)).alias("bit"))
+    return bits.groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits")), slices
+
+
+def may_hold(rows: DataFrame, key_col: str, told: tuple[DataFrame, int]) -> DataFrame:
+    """The rows with a further column __q_may: false where the key filter rules ``key_col`` out."""
+    table, slices = told
+    place = _place(F.col(key_col))
+    named = table.select(F.col("slice").alias("__q_slice"), F.col("bits").alias("__q_bits"))
+    met = rows.withColumn("__q_slice", F.pmod(F.shiftright(place, 15), F.lit(slices)).cast("int")).join(F.broadcast(named), "__q_slice", "left")
+    bit = place.bitwiseAND(F.lit(_SLICE - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__q_bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return met.withColumn("__q_may", F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1, F.lit(False))).drop("__q_slice", "__q_bits")
+
+
+def without_keys(rows: DataFrame, key_col: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key isn't among the materialised ``keys`` (one column, named as ``key_col``).
+
+    Few keys are broadcast. Beyond that only rows that a key filter doesn't clear
+    are shuffled to meet the keys, so that whole texts stay where they are.
+    """
+    if keys.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), key_col, "left_anti")
+    marked = may_hold(rows, key_col, key_filter(keys))
+    return marked.filter(~F.col("__q_may")).unionByName(marked.filter("__q_may").join(keys, key_col, "left_anti")).drop("__q_may")

@@ -1,8 +1,10 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate as d
+from quarry.llm import shared
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -44,7 +46,9 @@ ITEMS = [
 ]
 
 
-def test_against_brute_force(spark, odd, documents, small):
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_against_brute_force(spark, odd, documents, small, monkeypatch, broadcast):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     odd = odd.withColumn("row", F.lit(1)).withColumn("cands", F.lit(1))
     for docs, items in ((odd, bench), (documents, spark.read.parquet(f"{small}/benchmark.parquet"))):
@@ -57,6 +61,20 @@ def test_against_brute_force(spark, odd, documents, small):
         assert left.count() == sum(not r[4] for r in want)
 
 
+@pytest.mark.parametrize("most", [1 << 28, 1 << 15])
+def test_key_filter_knows_every_key(spark, monkeypatch, most):
+    """Also once it is full, when it rules little out; null keys and an empty list do no harm."""
+    monkeypatch.setattr(shared, "FILTER_BITS", most)
+    rows = spark.range(60_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"), "id")
+    keys = rows.filter("id % 3 = 0").select("key").cache()
+    marked = shared.may_hold(rows, "key", shared.key_filter(keys))
+    told = {r.hit: (r.n, r.may) for r in marked.groupBy((F.col("id") % 3 == 0).alias("hit")).agg(F.count("*").alias("n"), F.sum(F.col("__q_may").cast("int")).alias("may")).collect()}
+    assert told[True] == (20_000, 20_000) and told[False][0] == 40_000 and told[False][1] < (8_000 if most > 1 << 15 else 40_000)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    assert shared.without_keys(rows, "key", keys).count() == 40_000
+    assert shared.without_keys(rows, "key", keys.limit(0)).count() == 60_000
+
+
 def test_empty(spark, odd, no_docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert d.decontaminate(no_docs, bench).count() == 0
