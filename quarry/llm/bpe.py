@@ -1,15 +1,16 @@
-"""BPE encoding and decoding through a table of distinct words.
-
-Spark splits texts at ASCII white space and counts the distinct words; each word of
-the table is encoded once, and its ids and pieces are joined back at the word's
-positions. This is exact for a vocabulary that drops white space: neither its
+"""BPE encoding and decoding through tables of distinct words.
+
+Texts are split at ASCII white space. Spark counts the distinct words of the corpus
+and encodes each of the commonest once; that table has at most ``TABLE_WORDS`` rows
+of at most ``WORD_CHARS`` characters and goes to every task. A task takes texts in
+blocks: it makes the table of the block's distinct words, fetches the ids of those
+that the corpus table knows, encodes each other one once, and joins ids back by
+position. Decoding joins ids with the id-to-piece table, which holds the whole
+vocabulary. This is exact for a vocabulary that drops white space: neither its
 normaliser nor its splitter looks across it.
 
-The table holds every word whose share of all words is at least 1 in
-``table_words`` and that has at most 64 characters, so its size is bounded and it can
-be sent to every task. Rarer words are encoded where they stand, once for a task as
-long as it remembers them: sending them through a shuffle join costs more than the
-whole text does.
+A word that is rare in the corpus is so encoded once a block: a shuffled join of
+every position with one table of all words moves more than the texts themselves.
 
 Null and empty texts have no tokens; special tokens in a text are found as the
 library finds them. Repeated rows get the same result, an empty table an empty
@@ -21,22 +22,24 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from quarry.llm.shared import materialise, ship, text_or_empty
+from quarry.llm.blocks import parts, split_words
+from quarry.llm.shared import commonest, materialise, ship, text_or_empty
 
 ship(__name__)
 
 #: Most rows of the table that goes to every task, and most characters of a word there.
-TABLE_WORDS = 100_000
+TABLE_WORDS = 200_000
 WORD_CHARS = 64
-#: Most rarer words that a task remembers.
-SEEN_WORDS = 100_000
-_SPACE = r"[\x20\x09-\x0D]+"
+#: Between two words: anything but a single space, which is split at as it is.
+_GAP = r"[\x09-\x0D][\x20\x09-\x0D]*| [\x20\x09-\x0D]+"
 
 
 def load(vocabulary: str) -> Tokenizer:
@@ -63,49 +66,50 @@ class _Encoder:
         self.tokenizer = load(vocabulary)
         mark = next(t for t in json.loads(vocabulary)["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]))
         self.mark, self.sign = mark["content"], mark["id"]
-        names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.pieces = dict(zip(names.values(), names))
-        self.digits = {i: str(i) for i in self.pieces}
-
-    def entries(self, words: list[bytes]) -> dict[bytes, tuple[str, str]]:
-        """word -> (ids, pieces), each joined by spaces; both empty for a word without tokens."""
-        plain = [w.decode("utf-8") for w in words]
-        odd = [i for i, w in enumerate(plain) if self.mark in w]
-        found = {words[i]: self._told(self._ids(plain[i])) for i in odd}
-        held = [(b, w) for b, w in zip(words, plain) if b not in found]
-        for at in range(0, len(held), 1000):
-            some = held[at : at + 1000]
-            ids, start = self._ids(self.mark.join(w for _, w in some)), 0
-            for b, _ in some:
-                try:
-                    end = ids.index(self.sign, start)
-                except ValueError:
-                    end = len(ids)
-                found[b], start = self._told(ids[start:end]), end + 1
-        return found
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _told(self, ids: list[int]) -> tuple[str, str]:
-        return " ".join([self.digits[i] for i in ids]), " ".join([self.pieces[i] for i in ids])
+    def lists(self, words: list[str]) -> pa.ListArray:
+        """The ids of each word; none for a word without tokens."""
+        ids, ends = [], []
+        odd = {i for i, w in enumerate(words) if self.mark in w}
+        for at in range(0, len(words), 1000):
+            some = range(at, min(at + 1000, len(words)))
+            held = np.array(self._ids(self.mark.join("" if i in odd else words[i] for i in some)), np.int32)
+            cuts = [*np.flatnonzero(held == self.sign).tolist(), len(held)]
+            start = 0
+            for i, cut in zip(some, cuts):
+                one = np.array(self._ids(words[i]), np.int32) if i in odd else held[start:cut]
+                ids.append(one)
+                ends.append(len(one))
+                start = cut + 1
+        offsets = np.cumsum([0, *ends], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
 
 
 def word_table(docs: DataFrame, vocabulary: str, text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
-    """Frequent distinct words, each encoded once: word (UTF-8), ids, pieces."""
-    words = docs.select(F.explode(F.split(text_or_empty(text_col), _SPACE)).alias("word")).filter((F.col("word") != "") & (F.length("word") <= WORD_CHARS))
+    """The commonest distinct words, each encoded once: word (UTF-8), ids (a list)."""
+    spaced = F.regexp_replace(text_or_empty(text_col), _GAP, " ")
+    words = docs.select(F.explode(F.split(spaced, " ")).alias("word")).filter((F.col("word") != "") & (F.length("word") <= WORD_CHARS))
     counts = materialise(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"), "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = counts.filter(F.col("n") * table_words >= total).select("word")
 
     def run(batches):
         encoder = _Encoder(vocabulary)
         for batch in batches:
-            found = encoder.entries([w.encode("utf-8") for w in batch.column("word").to_pylist()])
-            ids, told = [v[0] for v in found.values()], [v[1] for v in found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(ids, pa.string()), pa.array(told, pa.string())], names=["word", "ids", "pieces"])
+            words = batch.column("word")
+            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), encoder.lists(words.to_pylist())], names=["word", "ids"])
+
+    return commonest(counts, table_words).select("word").mapInArrow(run, "word binary, ids array<int>")
+
 
-    return frequent.mapInArrow(run, "word binary, ids string, pieces string")
+def _piece_names(vocabulary: str) -> list[str]:
+    """The piece of each id from 0 on; empty where an id is not given."""
+    known = load(vocabulary).get_vocab(with_added_tokens=True)
+    out = [""] * (max(known.values()) + 1)
+    for piece, i in known.items():
+        out[i] = piece
+    return out
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS, digests: bool = False) -> DataFrame:
@@ -114,30 +118,33 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     ``ids`` are decimal and joined by one space. With ``digests`` the last two are
     lower-case hex SHA-256 of their UTF-8 instead, named ids_sha256, decoded_sha256.
     """
-    table = {bytes(r[0]): (r[1], r[2]) for r in word_table(docs, vocabulary, text_col, table_words).toLocalIterator()}  # at most table_words rows
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    table = word_table(docs, vocabulary, text_col, table_words).toArrow().combine_chunks()  # at most table_words rows
+    held = [table.column(c).combine_chunks() if table.num_rows else pa.array([], k) for c, k in (("word", pa.binary()), ("ids", pa.list_(pa.int32())))]
+    sent = docs.sparkSession.sparkContext.broadcast((held[0].cast(pa.binary()), held[1].cast(pa.list_(pa.int32()))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["id", "n_tokens", "ids", "decoded"]
 
-    def told(s):
-        return hashlib.sha256(s.encode("utf-8")).hexdigest() if digests else s
+    def told(pieces: pa.Array, starts: np.ndarray) -> pa.Array:
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pieces), " ")
+        return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined], pa.string()) if digests else joined
 
     def run(batches):
-        encoder, common, seen = _Encoder(vocabulary), sent.value, {}
+        encoder, (common, lists) = _Encoder(vocabulary), sent.value
+        names_of = _piece_names(vocabulary)
+        pieces, digits = pa.array(names_of, pa.string()), pa.array(map(str, range(len(names_of))), pa.string())
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                # bytes.split parts words at the ASCII white space that Spark's split knows.
-                split = [(t.as_py() or "").encode("utf-8").split() for t in part.column("text")]
-                if len(seen) > SEEN_WORDS:
-                    seen.clear()
-                seen.update(encoder.entries(list({w for words in split for w in words if w not in common and w not in seen})))
-                counts, ids, decoded = [], [], []
-                for words in split:
-                    met = [common.get(w) or seen[w] for w in words]
-                    ids.append(told(one := " ".join([m[0] for m in met if m[0]])))
-                    decoded.append(told(" ".join([m[1] for m in met if m[0]])))
-                    counts.append(one.count(" ") + 1 if one else 0)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=names)
+            for part in parts(batch, "text"):
+                codes, words, starts = split_words(part.column("text"))
+                at = pc.index_in(words, value_set=common)
+                rare = encoder.lists(words.filter(pc.is_null(at)).cast(pa.string()).to_pylist())
+                place = at.to_numpy(zero_copy_only=False)
+                new = np.isnan(place) if place.dtype.kind == "f" else np.zeros(len(place), bool)
+                place = np.where(new, len(lists) + np.cumsum(new) - 1, np.nan_to_num(place)).astype(np.int64)
+                of_word = pa.concat_arrays([lists, rare]).take(pa.array(place))  # ids of each distinct word of the block
+                counts = pc.list_value_length(of_word).to_numpy(zero_copy_only=False)[codes]
+                ids = of_word.take(pa.array(codes)).flatten()  # joined back by position
+                ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))[starts]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(ends), pa.int64()), told(digits.take(ids), ends), told(pieces.take(ids), ends)], names=names)
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField(names[2], T.StringType()), T.StructField(names[3], T.StringType())])
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -145,8 +152,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
 def pieces(vocabulary: str, spark) -> DataFrame:
     """The id-to-piece table (id, piece): as many rows as the vocabulary."""
-    whole = sorted((i, p) for p, i in load(vocabulary).get_vocab(with_added_tokens=True).items())
-    return spark.createDataFrame(whole, "id long, piece string")
+    return spark.createDataFrame(list(enumerate(_piece_names(vocabulary))), "id long, piece string")
 
 
 def decode(encoded: DataFrame, vocabulary: str, key_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -129,3 +129,28 @@ def without_keys(rows: DataFrame, key_col: str, keys: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(keys), key_col, "left_anti")
     marked = may_hold(rows, key_col, key_filter(keys))
     return marked.filter(~F.col("__q_may")).unionByName(marked.filter("__q_may").join(keys, key_col, "left_anti")).drop("__q_may")
+
+
+def with_keys(rows: DataFrame, key_col: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among the materialised ``keys`` (one column, named as ``key_col``).
+
+    Beyond the broadcast bound only rows that a key filter lets through are shuffled.
+    """
+    if keys.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), key_col, "left_semi")
+    return may_hold(rows, key_col, key_filter(keys)).filter("__q_may").drop("__q_may").join(keys, key_col, "left_semi")
+
+
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of highest ``n`` (a count) of a materialised table, at most ``most``.
+
+    Found through a histogram of about 1,000 cells at most, so nothing is sorted in one
+    task; rows of one cell, whose counts differ by a twentieth at most, stay or go together.
+    """
+    cell = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    held, least = 0, None
+    for r in sorted(counts.groupBy(cell.alias("cell")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["cell"]):
+        if (held := held + r["rows"]) > most:
+            break
+        least = r["cell"]
+    return counts.filter(cell >= least) if least is not None else counts.limit(0)
