@@ -5,15 +5,20 @@ reserved origin`` and whose third names the fields of the record headers. Versio
 1 headers are ``URL IP-address Archive-date Content-type Archive-length``; version 2
 adds ``Result-code Checksum Location Offset Filename`` before the length. A record's
 length alone says where it ends: payloads may hold anything, header lines of other
-records included.
+records included. After a line that isn't a header, or a length that passes the
+file's end, reading goes on at the next line that is a header.
 
-Conversion synthesises a WARC identifier (a UUID of the record's URI, date and
+Conversion synthesises a WARC identifier (a UUID of the source row's id and the
 payload digest), an ISO timestamp, the record type and SHA-256 digests. Of records with equal
 payloads of at least ``MIN_REVISIT`` bytes, that with the smallest id is a response
-and the others are revisits, which name it and carry no payload but its HTTP
-headers, the payload's length among them. Rows that repeat id and payload are
-alike; null ids come last. A null payload is empty. Empty tables give empty
-results; further columns are not looked at.
+and the others are revisits, which name its identifier in WARC-Refers-To and carry no
+payload but its HTTP headers, the payload's length among them. Rows that repeat id and
+payload are alike and share an identifier; null ids come last. A null payload is empty.
+Empty tables give empty results; further columns are not looked at.
+
+Archives are written by Spark, to any store it knows: a file holds ``ARCHIVE_RECORDS``
+records at most and is gzipped whole, where other writers make a member of each record;
+``parse_warc`` reads both.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.blocks import parts
 from quarry.llm.shared import materialise, scratch_path, ship
 
 ship(__name__)
@@ -63,26 +69,40 @@ def _field(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if c <= " " else c for c in value) or "-"
 
 
+def _arc_fields(line: bytes, version: int | None) -> list[str] | None:
+    """The fields of a header line of this version (None: of the version block); None if it isn't one."""
+    parts = line.decode("utf-8", "replace").rstrip("\r").split(" ")
+    if version is None:
+        return parts if line.startswith(b"filedesc:") and parts[-1].isascii() and parts[-1].isdigit() else None
+    names = ARC_FIELDS[version]
+    extra = len(parts) - len(names)  # a legacy URL may hold bare spaces
+    if extra < 0 or not (parts[-1].isascii() and parts[-1].isdigit()):
+        return None
+    parts = [" ".join(parts[: extra + 1]), *parts[extra + 1 :]]
+    date = parts[names.index("Archive-date")]
+    return parts if parts[0] and date.isascii() and date.isdigit() else None
+
+
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """Fields and ``content`` of each record after the version block; a malformed header ends the file."""
+    """Fields and ``content`` of each record after the version block, of a plain or gzipped file."""
+    if data[:2] == b"\x1f\x8b":
+        data = _Inflated(data).rest()
     at, version = 0, None
     while at < len(data):
-        if data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-            continue
         end = data.find(b"\n", at)
-        parts = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ") if end >= 0 else []
-        if not parts or not parts[-1].isdigit():
-            return
+        end = len(data) if end < 0 else end
+        parts = _arc_fields(data[at:end], version)
+        if parts is None or end + 1 + int(parts[-1]) > len(data):
+            at = end + 1  # a blank or broken line
+            continue
         content = data[end + 1 : end + 1 + int(parts[-1])]
         at = end + 1 + int(parts[-1])
         if version is None:
-            version = int(content.split(b" ", 1)[0])
+            told = content.split(b" ", 1)[0]
+            if told not in (b"1", b"2"):
+                raise ValueError(f"ARC version {told!r}")
+            version = int(told)
             continue
-        if len(parts) < len(ARC_FIELDS[version]):
-            return
-        extra = len(parts) - len(ARC_FIELDS[version])  # a legacy URL may hold bare spaces
-        parts = [" ".join(parts[: extra + 1]), *parts[extra + 1 :]]
         yield dict(zip(ARC_FIELDS[version], parts)) | {"content": content}
 
 
@@ -99,8 +119,8 @@ def iso_date(arc_date: str) -> str:
     return datetime.strptime(digits, "%Y%m%d%H%M%S").replace(tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def record_id(key: str, url: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{key} {url} {digest}')}>"
+def record_id(key: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{key} {digest}')}>"
 
 
 def warc_record(record: dict, key: str, digest: str, refers_to: str | None) -> bytes:
@@ -114,7 +134,7 @@ def warc_record(record: dict, key: str, digest: str, refers_to: str | None) -> b
     block = record["content"] if refers_to is None else head
     told = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(key, record["URL"], digest)),
+        ("WARC-Record-ID", record_id(key, digest)),
         ("WARC-Date", iso_date(record["Archive-date"])),
         ("WARC-Target-URI", record["URL"]),
         ("WARC-IP-Address", record["IP-address"]),
@@ -123,7 +143,7 @@ def warc_record(record: dict, key: str, digest: str, refers_to: str | None) -> b
         ("X-Source-Id", key),
     ]
     if refers_to is not None:
-        told += [("WARC-Profile", _PROFILE), ("X-Refers-To-Source-Id", refers_to)]
+        told += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Source-Id", refers_to)]
     told += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in told).encode() + b"\r\n" + block
 
@@ -146,6 +166,13 @@ class _Inflated:
             self.engine = zlib.decompressobj(31)
         return True
 
+    def rest(self) -> bytes:
+        held, self.out = [self.out], b""
+        while self._more():
+            held.append(self.out)
+            self.out = b""
+        return b"".join(held)
+
     def until(self, mark: bytes) -> bytes | None:
         while (end := self.out.find(mark)) < 0:
             if not self._more():
@@ -193,7 +220,7 @@ def arc_to_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def run(batches):
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in parts(batch, "payload"):
                 keys, urls, bodies, digests, refer = (part.column(n).to_pylist() for n in ("key", "url", "payload", "digest", "refers_to"))
                 archive = arc_header(version, "pages.arc", date) + b"".join(arc_record(version, u, date, _http_response(b)) for u, b in zip(urls, bodies))
                 done = [warc_record(r, k if k is not None else "-", d, f) for r, k, d, f in zip(parse_arc(archive), keys, digests, refer)]
@@ -244,6 +271,23 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "source_id string, uri string, date string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
 
 
+def read_arc(spark: SparkSession, path: str, name_glob: str = "*.arc*") -> DataFrame:
+    """Records of legacy ARC files (plain or gzipped) in a folder: key (file name and place in it), url, date, payload.
+
+    A file is read whole by one task, so it may have 2 GB at most, Spark's bound of a binary column.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name_glob).load(path).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+                for i, r in enumerate(parse_arc(data.as_py())):
+                    told = [[f"{name.rsplit('/', 1)[-1]}:{i}"], [r["URL"]], [r["Archive-date"]], [http_payload(r["content"])]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(told, [pa.string()] * 3 + [pa.binary()])], names=["key", "url", "date", "payload"])
+
+    return files.mapInArrow(run, "key string, url string, date string, payload binary")
+
+
 def convert(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", version: int = 2, path: str | None = None) -> DataFrame:
     """Convert, write the archives (to the shared folder unless ``path`` is given) and read them back."""
     spark = pages.sparkSession

@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def test_oracles(spark, small, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
     want = con.execute(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, small).toPandas()
-    plain = lambda d: sorted(repr(tuple(None if v is None or v != v else str(v).removesuffix(".0") for v in r)) for r in d[sorted(d.columns)].astype(object).itertuples(index=False, name=None))
+    plain = lambda d: sorted(repr(tuple(None if pd.isna(v) else str(v).removesuffix(".0") for v in r)) for r in d[sorted(d.columns)].astype(object).itertuples(index=False, name=None))
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
 
 

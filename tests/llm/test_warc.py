@@ -60,6 +60,32 @@ def test_arc_and_warc_bytes(bodies, version):
         assert [b for _, b in parsed] == contents
         assert all(f["WARC-Date"] == "2008-04-30T20:48:25Z" for f, _ in parsed)
     assert len({f["WARC-Record-ID"] for f, _ in parsed}) == len(bodies)
+    assert [r["content"] for r in w.parse_arc(gzip.compress(arc))] == contents
+
+
+def test_revisits_name_the_response(spark):
+    rows = spark.createDataFrame([(2, "u", BIG), (1, "v", BIG), (3, "u", "other")], "page_id long, url string, html string")
+    told = {f["X-Source-Id"]: f for r in w.arc_to_warc(rows).collect() for f, _ in w.parse_warc(bytes(r.record) + b"\r\n\r\n")}
+    assert told["2"]["WARC-Refers-To"] == told["1"]["WARC-Record-ID"] and told["2"]["WARC-Type"] == "revisit"
+    assert "WARC-Refers-To" not in told["1"] and len({f["WARC-Record-ID"] for f in told.values()}) == 3
+
+
+def test_reading_goes_on_after_broken_lines():
+    """A broken header, a length beyond the end, and blank lines cost no other record."""
+    date = "20080430204825"
+    good = [w.arc_record(1, f"http://h/{i}", date, b"body %d" % i) for i in range(3)]
+    arc = w.arc_header(1, "f.arc", date) + good[0] + b"no header at all 12\n\n" + good[1] + b"http://h/x 0.0.0.0 20080430204825 text/html 99999\n" + good[2]
+    assert [r["content"] for r in w.parse_arc(arc)] == [b"body 0", b"body 1", b"body 2"]
+
+
+def test_archives_on_disk_and_large_payloads(spark, tmp_path):
+    date, big = "20080430204825", b"x" * 3_000_000
+    for name, wrap in (("a.arc", bytes), ("b.arc.gz", gzip.compress)):
+        (tmp_path / name).write_bytes(wrap(w.arc_header(2, name, date) + w.arc_record(2, "http://h/", date, w._http_response(big)) + w.arc_record(2, "http://i/", date, w._http_response(b""))))
+    got = sorted((r.key, r.url, len(r.payload)) for r in w.read_arc(spark, str(tmp_path)).collect())
+    assert got == [("a.arc:0", "http://h/", 3_000_000), ("a.arc:1", "http://i/", 0), ("b.arc.gz:0", "http://h/", 3_000_000), ("b.arc.gz:1", "http://i/", 0)]
+    pages = spark.createDataFrame([(i, "u", "y" * (3_000_000 + i % 2)) for i in range(6)], "page_id long, url string, html string")
+    assert sorted((r.source_id, r.payload_bytes, r.refers_to) for r in w.convert(pages).collect()) == [(str(i), 3_000_000 + i % 2, None if i < 2 else str(i % 2)) for i in range(6)]
 
 
 def test_legacy_forms():
