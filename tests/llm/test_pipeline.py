@@ -43,3 +43,15 @@ def test_dedup_stages_keep_one_of_repeated_rows(spark, small):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = corpus_pipeline.near_dedup_stage(spark, corpus_pipeline.materialise(corpus_pipeline.exact_dedup_stage(spark, docs, small), "test"), small)
     assert sorted((r.doc_id for r in out.collect()), key=repr) == [1, 2, 3, None]
+
+
+def test_run_with_odd_and_empty_tables(spark, odd, no_docs, small, tmp_path):
+    """Nulls, blank, repeated and very long rows pass; an empty table gives an empty result."""
+    for name, docs in (("odd", odd), ("none", no_docs)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.read.parquet(f"{small}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # 1 and 2 differ in case and spaces; 3, 4 and the second null id are blank, as is 5.
+    assert sorted((r.doc_id for r in got), key=repr) == sorted([1, 3, 6, 7, 8, 9, None], key=repr)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
