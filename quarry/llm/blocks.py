@@ -13,7 +13,7 @@ from quarry.llm.shared import ship
 ship(__name__)
 
 #: Text of one block, in bytes; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 
 
 def parts(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.blocks import parts, split_words
 from quarry.llm.components import connected_components
-from quarry.llm.shared import broadcast_if_small, materialise, row_key, ship
+from quarry.llm.shared import broadcast_if_small, commonest, materialise, row_key, ship, with_keys, without_keys
 
 ship(__name__)
 
@@ -137,8 +138,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(component, "fp").select(F.col("key").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)  # any odd number
+
+
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its n-word shingles; of the whole sequence where it is shorter.
+
+    A distinct word of the block is hashed once; a shingle's hash is a polynomial of its words' hashes.
+    """
+    codes, words, starts = split_words(texts, lower=True)
+    hashes = np.array([xxhash.xxh64_intdigest(w, seed=SEED) for w in words.to_pylist()], np.uint64)[codes]
+
+    def rolled(held: np.ndarray, size: int) -> np.ndarray:
+        out = np.full(len(held) - size + 1, size, np.uint64)
+        for i in range(size):
+            out = out * _ODD + held[i : len(held) - size + 1 + i]
+        return out
+
+    whole = rolled(hashes, n) if len(hashes) >= n else hashes[:0]
+    ends = zip(starts[:-1].tolist(), starts[1:].tolist())
+    return [np.unique(whole[a : b - n + 1]) if b - a >= n else rolled(hashes[a:b], b - a)[:1] if b > a else hashes[:0] for a, b in ends]
+
+
 def shingle_set(text: str | None, n: int) -> np.ndarray:
-    return np.unique(np.fromiter(shingle_hashes(_words(text), n), np.uint64))
+    return shingle_sets(pa.array([text], pa.string()), n)[0]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -150,26 +173,26 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 #: One row in SAMPLED tells which shingles are common; at most COMMON of them are sent to the tasks.
-SAMPLED, COMMON = 20, 200_000
-#: Bits of a set's parity bitmap.
+SAMPLED, COMMON = 10, 200_000
+#: Bits of a set's parity bitmap, which goes with every candidate pair.
 PARITY = 1024
 #: Members of a list that one task compares with the whole list.
 SALTED = 256
 _PAIR = ["a", "b", "ka", "kb"]
 
 
-def _batched(docs: DataFrame, id_col: str, text_col: str, run, schema: str, where: Column | None = None) -> DataFrame:
-    """``run`` over parts of 256 rows (row, k, id, text); k is 64 bits of the row key."""
+def _batched(docs: DataFrame, id_col: str, text_col: str, run, schema: str, where: Column | None = None, only: DataFrame | None = None) -> DataFrame:
+    """``run`` over blocks of rows (row, k, id, text); k is 64 bits of the row key. ``only``: row keys that count."""
     rows = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows if only is None else with_keys(rows, "row", only)
     rows = rows.select("row", F.xxhash64("row").alias("k"), "id", "text")
     rows = rows if where is None else rows.filter(where)
 
-    def parts(batches):
+    def mapped(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                yield run(batch.slice(i, 256))
+            yield from map(run, parts(batch, "text"))
 
-    return rows.mapInArrow(parts, schema.format(id=rows.schema["id"].dataType.simpleString()))
+    return rows.mapInArrow(mapped, schema.format(id=rows.schema["id"].dataType.simpleString()))
 
 
 def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,12 +203,12 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -
     """
 
     def run(part):
-        found = [shingle_set(t.as_py(), shingle) for t in part.column("text")]
+        found = shingle_sets(part.column("text"), shingle)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64())], names=["token"])
 
     tokens = _batched(docs, id_col, text_col, run, "token long", F.pmod("k", F.lit(SAMPLED)) == 0)
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "token").limit(COMMON)
-    told = counts.toPandas()  # at most COMMON rows
+    counts = materialise(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+    told = commonest(counts, COMMON).toPandas()  # at most COMMON rows
     hashes, n = told["token"].to_numpy(np.int64).view(np.uint64), told["n"].to_numpy(np.int64)
     order = np.argsort(hashes)
     return hashes[order], n[order]
@@ -205,29 +228,47 @@ def prefix(found: np.ndarray, similarity: float, common: np.ndarray, counts: np.
     return found[np.argsort(n, kind="stable")[:size]]
 
 
-def _parity(found: np.ndarray) -> bytes:
+def _parity(found: np.ndarray, bits: int = PARITY) -> bytes:
     """Bit i is set where an odd number of the set's hashes fall on it."""
-    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _wide(found: np.ndarray) -> bytes | None:
+    """A bitmap of as many bits as members, to the next power of two, for a set that PARITY bits say little of."""
+    return _parity(found, 1 << (len(found) - 1).bit_length()) if len(found) > PARITY else None
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """Differing bits; the longer bitmap is folded to the shorter's size, which keeps parities."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, size)) ^ np.bitwise_xor.reduce(y.reshape(-1, size))).sum(dtype=np.int64))
+
+
+def _most(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
+    """Members in which sets of these sizes and that similarity can differ."""
+    return (na + nb) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
 def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """For each row: keys, id, size and digest of its shingle set, parity bitmap and prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col, shingle))
 
     def run(part):
-        sets = [shingle_set(t.as_py(), shingle) for t in part.column("text")]
+        sets = shingle_sets(part.column("text"), shingle)
         firsts = [prefix(x, similarity, *sent.value) for x in sets]
         ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
         made = [
             pa.array([len(x) for x in sets], pa.int64()),
             pa.array([xxhash.xxh128_digest(x.tobytes(), seed=SEED) for x in sets], pa.binary()),
             pa.array([_parity(x) for x in sets], pa.binary()),
+            pa.array([_wide(x) for x in sets], pa.binary()),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64), pa.int64())),
         ]
-        return pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), part.column("id"), *made], names=["row", "k", "id", "n", "digest", "parity", "prefix"])
+        return pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), part.column("id"), *made], names=["row", "k", "id", "n", "digest", "parity", "wide", "prefix"])
 
-    return _batched(docs, id_col, text_col, run, "row binary, k long, id {id}, n long, digest binary, parity binary, prefix array<bigint>")
+    return _batched(docs, id_col, text_col, run, "row binary, k long, id {id}, n long, digest binary, parity binary, wide binary, prefix array<bigint>")
 
 
 def _possible(similarity: float):
@@ -236,35 +277,61 @@ def _possible(similarity: float):
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in ("pa", "pb"))
-            most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (1 - similarity) / (1 + similarity) + 1e-6
-            yield batch.select(_PAIR).filter(pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most))
+            most = _most(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), similarity)
+            yield batch.select([*_PAIR, "na", "nb"]).filter(pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most))
+
+    return run
+
+
+def _still_possible(similarity: float):
+    """The same with bitmaps that grow with the sets."""
+
+    def run(batches):
+        for batch in batches:
+            most = _most(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), similarity)
+            told = zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist())
+            yield batch.select(_PAIR).filter(pa.array([_differing(a, b) <= m for (a, b), m in zip(told, most)], pa.bool_()))
+
+    return run
+
+
+def _similar(similarity: float):
+    """Pairs whose sets (as sorted 64-bit hashes) have the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch, "sa"):
+                a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(c)] for c in ("sa", "sb"))
+                yield part.select(_PAIR).filter(pa.array([jaccard(x, y) >= similarity for x, y in zip(a, b)], pa.bool_()))
 
     return run
 
 
 def _verified(candidates: DataFrame, marks: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The candidates (ka, kb) whose whole texts are similar, with their row keys a, b."""
+    """The candidates (ka, kb) whose whole texts are similar, with their row keys a, b.
+
+    Bitmaps of a fixed size rule most pairs out, then bitmaps as long as the sets those
+    of long texts; the set of a text that is left is made once, however many pairs hold it.
+    """
+    pair = "a binary, b binary, ka long, kb long"
     one = marks.select("k", "row", "n", "parity")
     close = candidates.join(one.toDF("ka", "a", "na", "pa"), "ka").join(one.toDF("kb", "b", "nb", "pb"), "kb")
     close = close.filter(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6)
-    schema = "a binary, b binary, ka long, kb long"
-    likely = materialise(close.select(*_PAIR, "na", "nb", "pa", "pb").mapInArrow(_possible(similarity), schema), "likely")
-    wanted = broadcast_if_small(materialise(likely.select(F.col("a").alias("row")).union(likely.select("b")).distinct(), "wanted"))
-    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    likely = materialise(close.select(*_PAIR, "na", "nb", "pa", "pb").mapInArrow(_possible(similarity), pair + ", na long, nb long"), "likely")
+    long = F.least("na", "nb") > PARITY
+    wide = marks.filter(F.col("n") > PARITY).select("row", "wide")
+    held = likely.filter(long).join(wide.toDF("b", "wb"), "b").join(wide.toDF("a", "wa"), "a").select(*_PAIR, "na", "nb", "wa", "wb")
+    left = materialise(likely.filter(~long).select(*_PAIR).unionByName(held.mapInArrow(_still_possible(similarity), pair)), "left")
+    wanted = materialise(left.select(F.col("a").alias("row")).union(left.select("b")).distinct(), "wanted")
 
-    def run(batches):
-        sets: dict = {}
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                one = batch.column("a")[i].as_py()
-                if one not in sets:
-                    sets = {one: shingle_set(batch.column("ta")[i].as_py(), shingle)}  # pairs come sorted by a
-                keep.append(jaccard(sets[one], shingle_set(batch.column("tb")[i].as_py(), shingle)) >= similarity)
-            yield batch.select(_PAIR).filter(pa.array(keep, pa.bool_()))
+    def run(part):
+        sets = [x.tobytes() for x in shingle_sets(part.column("text"), shingle)]
+        return pa.RecordBatch.from_arrays([part.column("row"), pa.array(sets, pa.binary())], names=["row", "set"])
 
-    held = likely.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-    return materialise(held.select(*_PAIR, "ta", "tb").mapInArrow(run, schema), "verified")
+    sets = _batched(docs, id_col, text_col, run, "row binary, set binary", only=wanted).dropDuplicates(["row"])
+    sets = materialise(sets, "sets")
+    met = left.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    return materialise(met.select(*_PAIR, "sa", "sb").mapInArrow(_similar(similarity), pair), "verified")
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +354,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tokens = postings.groupBy("token").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
     lists = materialise(postings.join(broadcast_if_small(materialise(tokens, "tokens")), "token").distinct(), "lists")
     marked = lists.select("k").distinct()
-    marked = materialise(marks.select("k", "row", "n", "parity").join(broadcast_if_small(materialise(marked, "listed")), "k", "left_semi").dropDuplicates(["row"]), "marked")
+    marked = materialise(marks.select("k", "row", "n", "parity", "wide").join(broadcast_if_small(materialise(marked, "listed")), "k", "left_semi").dropDuplicates(["row"]), "marked")
 
     stars = lists.select(F.explode(F.array(F.struct(F.col("first").alias("ka"), F.col("k").alias("kb")), F.struct(F.col("k").alias("ka"), F.col("last").alias("kb")))).alias("p")).select("p.*")
     near = _verified(stars.filter("ka <> kb").distinct(), marked, docs, id_col, text_col, shingle, similarity)
@@ -315,9 +382,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order = F.struct(F.col("id").isNull().alias("late"), F.col("id").alias("id"), F.col("node").alias("row"))
     firsts = placed.groupBy("root").agg(F.min(order).alias("first"))
     lost = materialise(placed.join(firsts, "root").filter("node <> first.row").select(F.col("node").alias("__q_row")), "lost")
-    kept = docs.withColumn("__q_row", row_key(id_col, text_col)).join(broadcast_if_small(lost), "__q_row", "left_anti")
+    kept = without_keys(docs.withColumn("__q_row", row_key(id_col, text_col)), "__q_row", lost)
     again = materialise(rows.filter("times > 1").select(F.col("row").alias("__q_row")), "again")
     if not again.isEmpty():  # only repeated rows are shuffled with their texts
-        again = broadcast_if_small(again)
-        kept = kept.join(again, "__q_row", "left_anti").unionByName(kept.join(again, "__q_row", "left_semi").dropDuplicates(["__q_row"]))
+        kept = without_keys(kept, "__q_row", again).unionByName(with_keys(kept, "__q_row", again).dropDuplicates(["__q_row"]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
