@@ -86,7 +86,9 @@ def cosine_pairs(vectors: DataFrame, at_least: float, id_col: str = "vec_id", ve
     ``blocks`` by id; a pair of blocks is one unit of work, so a large partition
     is spread over ``blocks * (blocks + 1) / 2`` tasks and no task holds it whole.
     """
-    unit = F.transform(F.col(vec_col), lambda x: x / F.greatest(norm(F.col(vec_col)), F.lit(1e-12)))
+    # As the variable of a lambda the norm is computed once a vector, not once an element.
+    length = F.array(F.greatest(norm(F.col(vec_col)), F.lit(1e-12)))
+    unit = F.get(F.transform(length, lambda n: F.transform(F.col(vec_col), lambda x: x / n)), 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(part_col).alias("part"), unit.alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     cell = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -98,10 +100,11 @@ def cosine_pairs(vectors: DataFrame, at_least: float, id_col: str = "vec_id", ve
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """O-D12: node, root for nodes of edges (a, b): the least node reachable.
+    """O-D12: node, root for nodes of edges (a, b): the least node reachable, of any ordered type.
 
     Least labels travel along the edges and then along themselves (a label's own
-    label), until nothing changes. Each round's labels are checkpointed.
+    label), until nothing changes. Each round's labels are checkpointed. Labels that
+    still change after ``rounds`` rounds are an error, never a result.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
@@ -111,11 +114,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         moved = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "near").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
         labels = _kept(moved.join(jump, "root", "left").select("node", F.coalesce("further", "root").alias("root")))
-        now = labels.agg(F.count("*"), F.sum(F.col("root").cast("decimal(38,0)"))).first()
+        now = labels.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
         if now == total:
-            break
+            return labels
         total = now
-    return labels
+    raise RuntimeError(f"components still change after {rounds} rounds")
 
 
 def _kept(df: DataFrame) -> DataFrame:

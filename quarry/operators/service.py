@@ -107,13 +107,15 @@ def facet_with_zeros(rows: DataFrame, column: str, vocabulary: list[str]) -> Dat
 
 # Sort orders; every one ends in the id, so pages never overlap.
 def sort_order(sort: str, seed: int = 0) -> list[Column]:
-    """O-Q3, O-Q4."""
+    """O-Q3, O-Q4. ``relevance`` needs a column score (BM25, negative), ``dups`` a column n_exact_dups."""
     mixed = (F.col("id") * 2654435761 + F.lit(seed * 40503)) % 4294967291 * 279470273 % 1000003
     return {
-        "newest": [F.col("created_ts").desc_nulls_last(), F.col("id")],
+        "relevance": [F.col("score").asc(), F.col("id")],
+        "newest": [F.col("created_ts").desc_nulls_last(), F.col("id").desc()],
         "oldest": [F.col("created_ts").asc_nulls_first(), F.col("id")],
         "shortest": [F.col("n_chars").asc(), F.col("id")],
         "longest": [F.col("n_chars").desc(), F.col("id")],
+        "dups": [F.col("n_exact_dups").desc(), F.col("id")],
         "random": [mixed.asc(), F.col("id")],
     }[sort]
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as t
 from quarry.operators import dedup as d
+from quarry.operators.service import Filters, apply_filters, page
 from quarry.plans.registry import query
 from quarry.plans.text import KEY
 from quarry.sources.corpus import CORPUS_SQL, corpus, table
@@ -32,6 +33,18 @@ def exact(spark, sf):
     return deduped(spark, sf).select("id", "uid", "kept", "canonical_uid", "n_exact_dups")
 
 
+@query("filter_max_dups", EXACT_SQL + "SELECT id FROM e JOIN c USING (id) WHERE kept AND n_exact_dups <= 0 AND lang = 'en' AND nsfw IS DISTINCT FROM true")
+def filter_max_dups(spark, sf):
+    """O-F7: kept rows with few copies."""
+    return apply_filters(deduped(spark, sf).filter("kept"), Filters(lang=["en"], max_dups=0)).select("id")
+
+
+@query("page_dups", EXACT_SQL + "SELECT id FROM e WHERE kept ORDER BY n_exact_dups DESC, id LIMIT 25")
+def page_dups(spark, sf):
+    """O-Q3: the most duplicated first."""
+    return page(deduped(spark, sf).filter("kept"), "dups", 1, 25).select("id")
+
+
 @query("dedup_exact_map", EXACT_SQL + "SELECT uid, canonical_uid, source FROM e WHERE NOT kept")
 def exact_map(spark, sf):
     return d.duplicate_map(deduped(spark, sf))

@@ -76,9 +76,9 @@ def counts_global(spark, sf):
     )
 
 
-for _name, _order in {"newest": "created_ts DESC NULLS LAST", "oldest": "created_ts ASC NULLS FIRST", "shortest": "n_chars", "longest": "n_chars DESC", "random": "(id * 2654435761 + 283521) % 4294967291 * 279470273 % 1000003"}.items():
+for _name, _order in {"newest": "created_ts DESC NULLS LAST, id DESC", "oldest": "created_ts ASC NULLS FIRST, id", "shortest": "n_chars, id", "longest": "n_chars DESC, id", "random": "(id * 2654435761 + 283521) % 4294967291 * 279470273 % 1000003, id"}.items():
 
-    @query(f"page_{_name}", C + f"SELECT id FROM c ORDER BY {_order}, id LIMIT 25 OFFSET 50")
+    @query(f"page_{_name}", C + f"SELECT id FROM c ORDER BY {_order} LIMIT 25 OFFSET 50")
     def _page(spark, sf, sort=_name):
         return s.page(corpus(spark, sf), sort, 3, 25, seed=7).select("id")
 

@@ -125,3 +125,14 @@ def test_windowed_counts(spark):
 
     rows = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:10:00", "b", 3.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.event_type, r.n, r.total) for r in windowed_counts(rows).collect()) == [("a", 2, 3.0), ("b", 1, 3.0)]
+
+
+def test_components_of_string_ids_and_their_limit(spark):
+    import pytest
+
+    from quarry.operators.dedup import components
+
+    chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("z1", "z2")], "a string, b string")
+    assert {r.root for r in components(chain).collect()} == {"n000", "z1"}
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=2)
