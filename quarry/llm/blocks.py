@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 from quarry.llm.shared import ship
 
 ship(__name__)
 
+#: Rows of a batch that Spark hands to a task's Python, where the session doesn't say: whole texts may be long.
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text of one block, in bytes; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
+
+
+def map_arrow(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """``rows.mapInArrow`` in batches of ``BATCH_ROWS`` (set for the session unless it has its own bound).
+
+    When a task ends, its worker gives freed memory back: workers stay for later stages.
+    """
+    if rows.sparkSession.conf.get(_ROWS, None) is None:
+        rows.sparkSession.conf.set(_ROWS, str(BATCH_ROWS))
+
+    def mapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
+
+    return rows.mapInArrow(mapped, schema)
 
 
 def parts(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from quarry.llm.blocks import parts, split_words
+from quarry.llm.blocks import map_arrow, parts, split_words
 from quarry.llm.shared import commonest, materialise, ship, text_or_empty
 
 ship(__name__)
@@ -62,30 +62,42 @@ class _Encoder:
     """Encodes distinct words, many in one text: a special token parts them, which the
     library takes out before it normalises or splits what stands around it."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, mark: tuple[str, int]):
         self.tokenizer = load(vocabulary)
-        mark = next(t for t in json.loads(vocabulary)["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]))
-        self.mark, self.sign = mark["content"], mark["id"]
+        self.mark, self.sign = mark
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def lists(self, words: list[str]) -> pa.ListArray:
         """The ids of each word; none for a word without tokens."""
-        ids, ends = [], []
-        odd = {i for i, w in enumerate(words) if self.mark in w}
-        for at in range(0, len(words), 1000):
-            some = range(at, min(at + 1000, len(words)))
-            held = np.array(self._ids(self.mark.join("" if i in odd else words[i] for i in some)), np.int32)
-            cuts = [*np.flatnonzero(held == self.sign).tolist(), len(held)]
-            start = 0
-            for i, cut in zip(some, cuts):
-                one = np.array(self._ids(words[i]), np.int32) if i in odd else held[start:cut]
-                ids.append(one)
-                ends.append(len(one))
-                start = cut + 1
-        offsets = np.cumsum([0, *ends], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
+        odd = [self.mark in w for w in words]
+        ids, counts = [np.empty(0, np.int32)], []
+
+        def encoded(text: str) -> None:
+            held = np.array(self._ids(text), np.int32)
+            cuts = np.flatnonzero(held == self.sign)
+            ids.append(held[held != self.sign])
+            counts.extend((np.diff([-1, *cuts, len(held)]) - 1).tolist())
+
+        start = 0
+        while start < len(words):
+            end = start
+            while end < len(words) and end < start + 500 and not odd[end]:
+                end += 1
+            if end > start:
+                encoded(self.mark.join(words[start:end]))
+            else:  # a word that holds the mark itself
+                ids.append(np.array(self._ids(words[start]), np.int32))
+                counts.append(len(ids[-1]))
+            start = max(end, start + 1)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+
+
+def _mark(vocabulary: str) -> tuple[str, int]:
+    """A special token that the library finds as it stands, and its id."""
+    mark = next(t for t in json.loads(vocabulary)["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]))
+    return mark["content"], mark["id"]
 
 
 def word_table(docs: DataFrame, vocabulary: str, text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
@@ -94,13 +106,15 @@ def word_table(docs: DataFrame, vocabulary: str, text_col: str = "text", table_w
     words = docs.select(F.explode(F.split(spaced, " ")).alias("word")).filter((F.col("word") != "") & (F.length("word") <= WORD_CHARS))
     counts = materialise(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"), "words")
 
+    mark = _mark(vocabulary)
+
     def run(batches):
-        encoder = _Encoder(vocabulary)
+        encoder = _Encoder(vocabulary, mark)
         for batch in batches:
             words = batch.column("word")
             yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), encoder.lists(words.to_pylist())], names=["word", "ids"])
 
-    return commonest(counts, table_words).select("word").mapInArrow(run, "word binary, ids array<int>")
+    return map_arrow(commonest(counts, table_words).select("word"), run, "word binary, ids array<int>")
 
 
 def _piece_names(vocabulary: str) -> list[str]:
@@ -120,7 +134,10 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """
     table = word_table(docs, vocabulary, text_col, table_words).toArrow().combine_chunks()  # at most table_words rows
     held = [table.column(c).combine_chunks() if table.num_rows else pa.array([], k) for c, k in (("word", pa.binary()), ("ids", pa.list_(pa.int32())))]
-    sent = docs.sparkSession.sparkContext.broadcast((held[0].cast(pa.binary()), held[1].cast(pa.list_(pa.int32()))))
+    names_of = _piece_names(vocabulary)
+    by_id = pa.array(names_of, pa.string()), pa.array([str(i) for i in range(len(names_of))], pa.string())
+    sent = docs.sparkSession.sparkContext.broadcast((held[0].cast(pa.binary()), held[1].cast(pa.list_(pa.int32())), *by_id))
+    mark = _mark(vocabulary)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["id", "n_tokens", "ids", "decoded"]
 
@@ -129,9 +146,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined], pa.string()) if digests else joined
 
     def run(batches):
-        encoder, (common, lists) = _Encoder(vocabulary), sent.value
-        names_of = _piece_names(vocabulary)
-        pieces, digits = pa.array(names_of, pa.string()), pa.array(map(str, range(len(names_of))), pa.string())
+        encoder, (common, lists, pieces, digits) = _Encoder(vocabulary, mark), sent.value
         for batch in batches:
             for part in parts(batch, "text"):
                 codes, words, starts = split_words(part.column("text"))
@@ -147,7 +162,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(ends), pa.int64()), told(digits.take(ids), ends), told(pieces.take(ids), ends)], names=names)
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField(names[2], T.StringType()), T.StructField(names[3], T.StringType())])
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, schema).withColumnRenamed("id", id_col)
 
 
 def pieces(vocabulary: str, spark) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.blocks import map_arrow
 from quarry.llm.shared import ship
 
 ship(__name__)
@@ -154,7 +155,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                     names=["order", "grade", "words", "places", "shares"],
                 )
 
-    found = rows.mapInArrow(run, "order long, grade int, words array<int>, places array<int>, shares array<double>")
+    found = map_arrow(rows, run, "order long, grade int, words array<int>, places array<int>, shares array<double>")
     return found.orderBy("order", "grade", F.size("words"), "words").limit(max_rows)
 
 
@@ -243,7 +244,7 @@ def _scores(docs: DataFrame, model: Model, key, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([sum(t) for t in tails], pa.float64()), pa.array([t[-1] for t in tails], pa.float64())], names=["key", "expected_grade", "tail_probability"])
 
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -263,4 +264,4 @@ def select_good(docs: DataFrame, model: Model, text_col: str = "text", threshold
         for batch in batches:
             yield batch.filter(pa.array([own.tails(score(t.as_py()))[-1] >= threshold for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

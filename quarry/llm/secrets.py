@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.blocks import map_arrow
 from quarry.llm.shared import ship
 
 ship(__name__)
@@ -108,4 +109,4 @@ def find_secrets(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=names)
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *(T.StructField(n, T.LongType()) for n in names[1:5]), *(T.StructField(n, T.StringType()) for n in names[5:])])
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, schema).withColumnRenamed("id", id_col)

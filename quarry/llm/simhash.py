@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.blocks import parts, split_words
+from quarry.llm.blocks import map_arrow, parts, split_words
 from quarry.llm.components import connected_components
 from quarry.llm.shared import broadcast_if_small, commonest, materialise, row_key, ship, with_keys, without_keys
 
@@ -85,7 +85,7 @@ def _mapped(docs: DataFrame, key: Column, text_col: str, outputs: list, fields:
                 yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array([d[i] for d in done], pa.int64()) for i in range(len(outputs)))], names=["key", *fields.split()])
 
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *(T.StructField(f, T.LongType()) for f in fields.split())])
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -192,7 +192,7 @@ def _batched(docs: DataFrame, id_col: str, text_col: str, run, schema: str, wher
         for batch in batches:
             yield from map(run, parts(batch, "text"))
 
-    return rows.mapInArrow(mapped, schema.format(id=rows.schema["id"].dataType.simpleString()))
+    return map_arrow(rows, mapped, schema.format(id=rows.schema["id"].dataType.simpleString()))
 
 
 def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,11 +317,11 @@ def _verified(candidates: DataFrame, marks: DataFrame, docs: DataFrame, id_col:
     one = marks.select("k", "row", "n", "parity")
     close = candidates.join(one.toDF("ka", "a", "na", "pa"), "ka").join(one.toDF("kb", "b", "nb", "pb"), "kb")
     close = close.filter(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6)
-    likely = materialise(close.select(*_PAIR, "na", "nb", "pa", "pb").mapInArrow(_possible(similarity), pair + ", na long, nb long"), "likely")
+    likely = materialise(map_arrow(close.select(*_PAIR, "na", "nb", "pa", "pb"), _possible(similarity), pair + ", na long, nb long"), "likely")
     long = F.least("na", "nb") > PARITY
     wide = marks.filter(F.col("n") > PARITY).select("row", "wide")
     held = likely.filter(long).join(wide.toDF("b", "wb"), "b").join(wide.toDF("a", "wa"), "a").select(*_PAIR, "na", "nb", "wa", "wb")
-    left = materialise(likely.filter(~long).select(*_PAIR).unionByName(held.mapInArrow(_still_possible(similarity), pair)), "left")
+    left = materialise(likely.filter(~long).select(*_PAIR).unionByName(map_arrow(held, _still_possible(similarity), pair)), "left")
     wanted = materialise(left.select(F.col("a").alias("row")).union(left.select("b")).distinct(), "wanted")
 
     def run(part):
@@ -331,7 +331,7 @@ def _verified(candidates: DataFrame, marks: DataFrame, docs: DataFrame, id_col:
     sets = _batched(docs, id_col, text_col, run, "row binary, set binary", only=wanted).dropDuplicates(["row"])
     sets = materialise(sets, "sets")
     met = left.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    return materialise(met.select(*_PAIR, "sa", "sb").mapInArrow(_similar(similarity), pair), "verified")
+    return materialise(map_arrow(met.select(*_PAIR, "sa", "sb"), _similar(similarity), pair), "verified")
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:

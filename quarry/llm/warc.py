@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.blocks import parts
+from quarry.llm.blocks import map_arrow, parts
 from quarry.llm.shared import materialise, scratch_path, ship
 
 ship(__name__)
@@ -226,7 +226,7 @@ def arc_to_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 done = [warc_record(r, k if k is not None else "-", d, f) for r, k, d, f in zip(parse_arc(archive), keys, digests, refer)]
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["record"])
 
-    return known.mapInArrow(run, "record binary")
+    return map_arrow(known, run, "record binary")
 
 
 def write_warc(records: DataFrame, path: str) -> str:
@@ -268,7 +268,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], k) for i, k in enumerate(kinds)], names=names)
 
-    return files.mapInArrow(run, "source_id string, uri string, date string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
+    return map_arrow(files, run, "source_id string, uri string, date string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
 
 
 def read_arc(spark: SparkSession, path: str, name_glob: str = "*.arc*") -> DataFrame:
@@ -285,7 +285,7 @@ def read_arc(spark: SparkSession, path: str, name_glob: str = "*.arc*") -> DataF
                     told = [[f"{name.rsplit('/', 1)[-1]}:{i}"], [r["URL"]], [r["Archive-date"]], [http_payload(r["content"])]]
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(told, [pa.string()] * 3 + [pa.binary()])], names=["key", "url", "date", "payload"])
 
-    return files.mapInArrow(run, "key string, url string, date string, payload binary")
+    return map_arrow(files, run, "key string, url string, date string, payload binary")
 
 
 def convert(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", version: int = 2, path: str | None = None) -> DataFrame:
