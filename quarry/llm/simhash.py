@@ -340,8 +340,10 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The edges' components are those of all pairs whose shingle sets have an exact
     Jaccard similarity of at least ``similarity``. Equal sets are one node. Sets
     that similar share a shingle of their prefixes (rarest first), and so meet in a
-    list. Each member is first compared with the least and the greatest of its
-    lists; then every pair of a list that the edges found so far do not connect.
+    list. Each member is first compared with the hub of each of its lists, the member
+    that meets most others over all its lists (the original of edited copies, where there
+    is one); then every pair of a list that the edges found so far do not connect,
+    where the places of the shared shingle leave room for the similarity.
     """
     marks = materialise(_marks(docs, id_col, text_col, shingle, similarity), "marks")
     heads = materialise(marks.groupBy("digest").agg(F.min("k").alias("head"), F.max("k").alias("tail")).filter("head < tail").select("digest", "head"), "heads")
@@ -350,24 +352,29 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     equal = alike.filter("k <> head").select("digest", F.col("row").alias("b")).join(first, "digest").select("a", "b")
     nodes = marks.join(broadcast_if_small(materialise(alike.filter("k <> head").select("k").distinct(), "copies")), "k", "left_anti")
 
-    postings = nodes.select("k", F.explode("prefix").alias("token"))
-    tokens = postings.groupBy("token").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
+    postings = nodes.select("k", "n", F.posexplode("prefix").alias("at", "token"))
+    tokens = postings.groupBy("token").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("held")).filter("first < last").select("token", "held")
     lists = materialise(postings.join(broadcast_if_small(materialise(tokens, "tokens")), "token").distinct(), "lists")
     marked = lists.select("k").distinct()
     marked = materialise(marks.select("k", "row", "n", "parity", "wide").join(broadcast_if_small(materialise(marked, "listed")), "k", "left_semi").dropDuplicates(["row"]), "marked")
 
-    stars = lists.select(F.explode(F.array(F.struct(F.col("first").alias("ka"), F.col("k").alias("kb")), F.struct(F.col("k").alias("ka"), F.col("last").alias("kb")))).alias("p")).select("p.*")
+    fame = lists.groupBy("k").agg(F.sum("held").alias("fame"))
+    hubs = lists.select("token", "k").join(fame, "k").groupBy("token").agg(F.max(F.struct("fame", "k")).alias("best")).select("token", F.col("best.k").alias("ka"))
+    stars = lists.select("token", F.col("k").alias("kb")).join(broadcast_if_small(materialise(hubs, "hubs")), "token").select("ka", "kb")
     near = _verified(stars.filter("ka <> kb").distinct(), marked, docs, id_col, text_col, shingle, similarity)
 
     roots = connected_components(near.select("ka", "kb")).withColumnRenamed("node", "k")
-    placed = lists.select("token", "k").join(marked.select("k", "n").distinct(), "k").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    placed = lists.select("token", "k", "n", "at").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     placed = materialise(placed, "placed")
     apart = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).filter("low < high")
     left = materialise(placed.join(broadcast_if_small(materialise(apart.select("token", F.ceil(F.col("held") / SALTED).alias("parts")), "apart")), "token"), "left")
     # A long list is dealt out: each part of it meets the whole list in a task of its own.
-    some = left.select("token", F.pmod(F.xxhash64("k"), "parts").alias("part"), F.col("k").alias("ka"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    whole = left.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("k").alias("kb"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    pairs = some.join(whole, ["token", "part"]).filter((F.col("ra") != F.col("rb")) & (F.col("ka") < F.col("kb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6))
+    some = left.select("token", F.pmod(F.xxhash64("k"), "parts").alias("part"), F.col("k").alias("ka"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    whole = left.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("k").alias("kb"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    sized = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6
+    # Where this is the first shingle that both share, no more follow than the shorter rest holds; a similar pair has such a shingle.
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
+    pairs = some.join(whole, ["token", "part"]).filter((F.col("ra") != F.col("rb")) & (F.col("ka") < F.col("kb")) & sized & enough)
     far = _verified(pairs.select("ka", "kb").distinct(), marked, docs, id_col, text_col, shingle, similarity)
     return marks.groupBy("row").agg(F.min("id").alias("id"), F.count("*").alias("times")), equal.unionByName(near.select("a", "b")).unionByName(far.select("a", "b"))
 
