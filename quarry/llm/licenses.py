@@ -136,7 +136,10 @@ def canonical_lines(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """digest, license: one row for each known text; as many as the list, so it can be broadcast."""
+    """digest, license: one row for each known text; as many as the list, so it can be broadcast.
+
+    Of identifiers whose texts have one canonical form, the least in order stands for them.
+    """
     rows = spark.createDataFrame(KNOWN if known is None else known, "license string, body string")
     return rows.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 

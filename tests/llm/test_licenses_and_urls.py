@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import licenses as li
-from quarry.llm import queries, url_filter
+from quarry.llm import queries, shared, url_filter
 
 
 def test_forms(spark, odd):
@@ -22,6 +22,14 @@ def test_forms(spark, odd):
     assert li.license_scan(odd, li.known_licenses(spark, [("X", "x")])).filter("text_license = 'X'").count() == 1
 
 
+def test_one_digest_of_two_licences(spark):
+    """Of two identifiers with one canonical text the least stands for both."""
+    docs = spark.createDataFrame([(1, "The  TERMS."), (2, "other\nthe terms")], "doc_id long, text string")
+    known = li.known_licenses(spark, [("B", "The terms."), ("A", "the terms"), ("C", "None of them.")])
+    assert known.count() == 2
+    assert sorted((r.doc_id, r.text_license, r.n_notices, r.licenses) for r in li.license_scan(docs, known).collect()) == [(1, "A", 1, "A"), (2, None, 1, "A")]
+
+
 ENTRIES = [
     ("domain", "Bad.example", "add", 10, "spam"), ("domain", "bad.example", "remove", 20, "spam"), ("domain", "bad.example", "add", 30, "spam"), ("prefix", "ok.example/a", "add", 0, "adult"), ("domain", "twice.example", "add", 5, "x"),
     ("domain", "twice.example", "remove", 5, "x"), (None, "bad.example", "add", 0, "x"), ("domain", "null.example", "add", None, "x"),
@@ -33,7 +41,9 @@ CAPTURES = [
 ]
 
 
-def test_intervals(spark):
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_intervals(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
     entries = spark.createDataFrame(ENTRIES, "kind string, pattern string, action string, at long, category string")
     captures = spark.createDataFrame(CAPTURES, "page_id long, url string, fetched_at long, wanted boolean").withColumn("n", F.lit(1)).withColumn("kind", F.lit("x"))
     got = url_filter.filter_urls(captures, entries).collect()

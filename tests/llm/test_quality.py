@@ -1,5 +1,8 @@
+import math
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import quality as q
@@ -54,3 +57,30 @@ def test_scorer_equals_features(documents, spark, small):
         words, shares = q.features(r.text)
         want = sum(model.weights.get(p, 0) for p in words) + sum(model.weights.get(p, 0) * v for p, v in shares.items())
         assert abs(score(r.text) - want) < 1e-9
+
+
+def test_classify_equals_brute_force(documents, spark, small):
+    """Every document: the logistic of score less threshold, summed and last, from plain features."""
+    model = q.train(documents, spark.read.parquet(f"{small}/labels.parquet"))
+    got = {r.doc_id: r for r in q.classify(documents, model).collect()}
+    for r in documents.collect():
+        words, shares = q.features(r.text)
+        score = sum(model.weights.get(p, 0) for p in words) + sum(model.weights.get(p, 0) * v for p, v in shares.items())
+        tails = [1 / (1 + math.exp(min(t - score, 500))) for t in model.thresholds]
+        assert got[r.doc_id].expected_grade == pytest.approx(sum(tails), abs=1e-9)
+        assert got[r.doc_id].tail_probability == pytest.approx(tails[-1], abs=1e-9)
+    assert len(got) == documents.count()
+
+
+def test_thresholds_without_features_are_the_closed_form():
+    """With no features the likelihood's best thresholds are the logits of the weighted shares at or below a grade."""
+    grades = [0] * 30 + [1] * 50 + [2] * 120
+    model = q.fit([{"grade": g, "words": [], "places": [], "shares": []} for g in grades])
+    mass = {g: n / n**0.5 for g, n in Counter(grades).items()}
+    for cut, share in zip(model.thresholds, (mass[0] / sum(mass.values()), (mass[0] + mass[1]) / sum(mass.values()))):
+        assert cut == pytest.approx(math.log(share / (1 - share)), abs=0.05)
+
+
+def test_several_labels_of_one_document_count_once(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.id: r.grade for r in q.graded(labels).collect()} == {1: 1, 2: 2}  # the least of 2, 1 and 1
