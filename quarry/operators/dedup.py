@@ -129,16 +129,36 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def near_dedup(pairs: DataFrame, canonical: DataFrame, vectors: DataFrame, at_least: float, pairwise: bool = True) -> DataFrame:
-    """O-D13 to O-D15: node, canonical node, removed.
+def alike(cosine: Column, a: Column, b: Column, least_cosine: float, least_jaccard: float, most_ratio: float) -> Column:
+    """O-D11: close vectors, and token sets and lengths that confirm it. ``a``, ``b`` hold tokens, n_chars."""
+    return (cosine >= least_cosine) & (jaccard(a["tokens"], b["tokens"]) >= least_jaccard) & (length_ratio(a["n_chars"], b["n_chars"]) <= most_ratio)
 
-    Without ``pairwise`` every member of a component but its canonical one goes;
-    with it, a member stays if its own cosine with the canonical one is too low.
-    ``canonical`` has node and its order; ``vectors`` has node, v.
+
+def confirm_pairs(pairs: DataFrame, texts: DataFrame, least_jaccard: float = 0.65, most_ratio: float = 2.0) -> DataFrame:
+    """O-D11: the pairs (a, b, cosine) that texts (node, tokens, n_chars) confirm; nodes without a text have no pair."""
+    held = texts.select("node", F.struct("tokens", "n_chars").alias("held"))
+    met = pairs.join(held.toDF("a", "__q_a"), "a").join(held.toDF("b", "__q_b"), "b")
+    return met.filter(alike(F.lit(1.0), F.col("__q_a"), F.col("__q_b"), 0.0, least_jaccard, most_ratio)).select(*pairs.columns)
+
+
+def near_dedup(pairs: DataFrame, canonical: DataFrame, vectors: DataFrame, at_least: float, pairwise: bool = True, least_jaccard: float = 0.65, most_ratio: float = 2.0) -> DataFrame:
+    """O-D13 to O-D15: node, canonical node, clear, removed, n_near_dups.
+
+    ``clear`` tells whether a member meets the canonical one's thresholds itself. Without
+    ``pairwise`` every member of a component but its canonical one goes; with it, a member
+    that isn't clear stays. n_near_dups counts, on the canonical row, those that went.
+    ``canonical`` has node and its order; ``vectors`` has node, v and, where texts count
+    too, tokens and n_chars.
     """
     found = components(pairs).join(canonical, "node")
     best = found.groupBy("root").agg(F.min_by("node", "order").alias("canonical"))
-    met = found.join(best, "root").join(vectors, "node").join(vectors.select(F.col("node").alias("canonical"), F.col("v").alias("cv")), "canonical")
-    near = dot(F.col("v"), F.col("cv")) / F.greatest(norm(F.col("v")) * norm(F.col("cv")), F.lit(1e-12)) >= at_least
-    removed = (F.col("node") != F.col("canonical")) & (near if pairwise else F.lit(True))
-    return met.select("node", "canonical", removed.alias("removed"))
+    texts = "tokens" in vectors.columns
+    held = vectors.select("node", F.struct(*[c for c in vectors.columns if c != "node"]).alias("mine"))
+    met = found.select("root", "node").join(best, "root").join(held, "node").join(held.toDF("canonical", "theirs"), "canonical")
+    a, b = F.col("mine"), F.col("theirs")
+    cosine = dot(a["v"], b["v"]) / F.greatest(norm(a["v"]) * norm(b["v"]), F.lit(1e-12))
+    clear = alike(cosine, a, b, at_least, least_jaccard, most_ratio) if texts else cosine >= at_least
+    told = met.select("node", "canonical", clear.alias("clear"))
+    told = told.withColumn("removed", (F.col("node") != F.col("canonical")) & (F.col("clear") if pairwise else F.lit(True)))
+    went = told.filter("removed").groupBy(F.col("canonical").alias("node")).agg(F.count("*").alias("n_near_dups"))
+    return told.join(went, "node", "left").withColumn("n_near_dups", F.coalesce("n_near_dups", F.lit(0)))

@@ -122,20 +122,44 @@ def components(spark, sf):
     return d.components(d.cosine_pairs(table(spark, sf, "embeddings"), 0.4))
 
 
-def _near(spark, sf, pairwise):
-    rows = table(spark, sf, "embeddings")
+# Thresholds that leave rows: the invented vectors are not of the documents' texts.
+LIKE = {"least_jaccard": 0.02, "most_ratio": 4.0}
+_LIKE = f"({_COSINE} >= 0.3 AND len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) >= 0.02 AND CASE WHEN a.n = 0 AND b.n = 0 THEN true ELSE least(a.n, b.n) > 0 AND greatest(a.n, b.n) / least(a.n, b.n) <= 4 END)"
+NEAR_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id AS node, embedding, label, list_distinct(string_split(coalesce(text, ''), ' ')) AS tokens, length(coalesce(text, '')) AS n FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+p AS (SELECT a.node AS a, b.node AS b FROM v a JOIN v b ON a.label = b.label AND a.node <> b.node WHERE {_LIKE}),
+r AS (SELECT a AS node, a AS reached FROM p UNION SELECT r.node, p.b FROM r JOIN p ON r.reached = p.a),
+c AS (SELECT node, min(reached) AS root FROM r GROUP BY node),
+k AS (SELECT root, arg_min(node, (node % 3) * 1000000000000 + node) AS canonical FROM c GROUP BY root),
+m AS (SELECT a.node, b.node AS canonical, {_LIKE} AS clear FROM c JOIN k USING (root) JOIN v a ON a.node = c.node JOIN v b ON b.node = k.canonical) """
+_NEAR_ROWS = "SELECT node, canonical, clear, removed, CASE WHEN node = canonical THEN count(*) FILTER (removed) OVER (PARTITION BY canonical) ELSE 0 END AS n_near_dups FROM (SELECT *, node <> canonical AND {} AS removed FROM m)"
+
+
+def near(spark, sf, pairwise):
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    rows = table(spark, sf, "embeddings").join(docs, "vec_id", "left")
+    nodes = rows.select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"), F.array_distinct(F.split(text, " ")).alias("tokens"), F.length(text).alias("n_chars"))
     order = rows.select(F.col("vec_id").alias("node"), F.struct(F.pmod("vec_id", F.lit(3)), F.col("vec_id")).alias("order"))
-    return d.near_dedup(d.cosine_pairs(rows, 0.4), order, rows.select(F.col("vec_id").alias("node"), F.col("embedding").alias("v")), 0.4, pairwise)
+    pairs = d.confirm_pairs(d.cosine_pairs(table(spark, sf, "embeddings"), 0.3), nodes, **LIKE)
+    return d.near_dedup(pairs, order, nodes, 0.3, pairwise, **LIKE)
 
 
-@query("dedup_near_pairwise")
+@query("dedup_near_pairwise", NEAR_SQL + _NEAR_ROWS.format("clear"))
 def near_pairwise(spark, sf):
-    return _near(spark, sf, True)
+    """O-D11, O-D13, O-D14: a member goes if it is like the canonical row itself."""
+    return near(spark, sf, True)
 
 
-@query("dedup_near_transitive")
+@query("dedup_near_transitive", NEAR_SQL + _NEAR_ROWS.format("true"))
 def near_transitive(spark, sf):
-    return _near(spark, sf, False)
+    """O-D15: every member but the canonical row goes."""
+    return near(spark, sf, False)
+
+
+@query("near_map_invariant", NEAR_SQL + "SELECT count(*) AS n, count(*) FILTER (clear) AS n_clear, count(DISTINCT canonical) AS n_canonical FROM m WHERE node <> canonical")
+def near_map_invariant(spark, sf):
+    """O-C18: of all that chains of pairs would discard, those that are like their canonical row themselves."""
+    return near(spark, sf, False).filter("removed").agg(F.count("*").alias("n"), F.count_if("clear").alias("n_clear"), F.countDistinct("canonical").alias("n_canonical"))
 
 
 @query(

@@ -98,14 +98,6 @@ def labels_axes_combined(spark, sf):
     return rows.select("id", F.least("a", "b").alias("label_confidence"), ((F.col("a") < 0.5) | (F.col("b") < 0.5)).alias("needs_review"))
 
 
-@query("near_map_invariant", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS x FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT count(*) AS n, count(*) FILTER (WHERE x >= 0.3) AS n_clear, count(DISTINCT a) AS n_canonical FROM p WHERE x >= 0.3")
-def near_map_invariant(spark, sf):
-    """O-C18."""
-    from quarry.operators.dedup import cosine_pairs
-
-    return cosine_pairs(table(spark, sf, "embeddings"), 0.3).agg(F.count("*").alias("n"), F.count_if(F.col("cosine") >= 0.3).alias("n_clear"), F.countDistinct("a").alias("n_canonical"))
-
-
 @query("export_collection", C + "SELECT id, license FROM c WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AND redistributable")
 def export_collection(spark, sf):
     """O-E9: the rows of a collection."""

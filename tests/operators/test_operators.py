@@ -59,6 +59,12 @@ def test_near_chain(spark):
     order, vectors = rows.select(F.col("vec_id").alias("node"), F.col("vec_id").alias("order")), rows.select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
     assert [r.node for r in dedup.near_dedup(pairs, order, vectors, 0.985).filter("removed").collect()] == [2]
     assert sorted(r.node for r in dedup.near_dedup(pairs, order, vectors, 0.985, pairwise=False).filter("removed").collect()) == [2, 3]
+    assert {r.node: r.n_near_dups for r in dedup.near_dedup(pairs, order, vectors, 0.985, pairwise=False).collect()} == {1: 2, 2: 0, 3: 0}
+    # Texts must confirm a pair: 1 and 2 share their words, 3 is more than twice as long as 2.
+    texts = spark.createDataFrame([(1, ["a", "b"], 10), (2, ["a", "b"], 10), (3, ["a", "b"], 21)], "node long, tokens array<string>, n_chars int")
+    sure = dedup.confirm_pairs(pairs, texts)
+    assert [(r.a, r.b) for r in sure.collect()] == [(1, 2)]
+    assert sorted((r.node, r.removed, r.n_near_dups) for r in dedup.near_dedup(sure, order, vectors.join(texts, "node"), 0.985).collect()) == [(1, False, 1), (2, True, 0)]
 
 
 def agreement(spark, pairs, weights):
