@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarry.functions import text as t
+from quarry.operators.sampling import ranked
 from quarry.plans.ledger import LEDGER_SQL, ledger
 from quarry.plans.registry import query
 from quarry.sources.corpus import CORPUS_SQL, corpus, table
@@ -162,20 +163,28 @@ def import_window_limit(spark, sf):
     return ledger(spark, sf).select("id", (F.row_number().over(W.partitionBy("task").orderBy("id")) <= 3).alias("accepted"))
 
 
-@query("pool_signature", C + "SELECT sha256('v1:' || count(*) || ':' || coalesce(max(id), 0)) AS signature FROM c WHERE redistributable")
+POOL_CONFIG = "policy=redistributable;version=1"
+
+
+@query("pool_signature", C + f"SELECT sha256('{POOL_CONFIG}:' || count(*) || ':' || coalesce(sum(CAST('0x' || substr(sha256(uid || ':' || text), 1, 12) AS BIGINT)), 0)) AS signature FROM c WHERE redistributable")
 def pool_signature(spark, sf):
-    """O-W28."""
-    one = corpus(spark, sf).filter("redistributable").agg(F.count("*").alias("n"), F.coalesce(F.max("id"), F.lit(0)).alias("m"))
-    return one.select(F.sha2(F.concat(F.lit("v1:"), "n", F.lit(":"), "m"), 256).alias("signature"))
+    """O-W28: of the configuration and every row's uid and text, in any order; an edit changes it."""
+    mark = F.conv(F.substring(F.sha2(F.concat("uid", F.lit(":"), "text"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    one = corpus(spark, sf).filter("redistributable").agg(F.count("*").alias("n"), F.coalesce(F.sum(mark), F.lit(0)).alias("m"))
+    return one.select(F.sha2(F.concat(F.lit(POOL_CONFIG + ":"), F.col("n").cast("string"), F.lit(":"), F.col("m").cast("string")), 256).alias("signature"))
 
 
-@query("round_robin_plan", LEDGER_SQL + ", t AS (SELECT task, row_number() OVER (PARTITION BY task % 8 ORDER BY task) AS r FROM (SELECT DISTINCT task FROM l)) SELECT task, (r + task) % 9 AS person FROM t WHERE (task, (r + task) % 9) NOT IN (SELECT task, person FROM l)")
+@query(
+    "round_robin_plan",
+    LEDGER_SQL + ", t AS (SELECT task, row_number() OVER (ORDER BY task) - 1 AS r FROM (SELECT DISTINCT task FROM l)), o AS (SELECT task, (r + k) % 9 AS person, k FROM t, range(9) AS x(k)) SELECT t.task, (SELECT arg_min(o.person, o.k) FROM o WHERE o.task = t.task AND NOT EXISTS (SELECT 1 FROM l WHERE l.task = o.task AND l.person = o.person)) AS person FROM t",
+)
 def round_robin_plan(spark, sf):
-    """O-A17: tasks to people in turn, never to one who had the task."""
-    rows = ledger(spark, sf)
-    turn = F.row_number().over(W.partitionBy(F.pmod("task", F.lit(8))).orderBy("task"))
-    plan = rows.select("task").distinct().select("task", F.pmod(turn + F.col("task"), F.lit(9)).alias("person"))
-    return plan.join(rows.select("task", "person"), ["task", "person"], "left_anti")
+    """O-A17: tasks to people in turn; one who had the task passes it to the next who hadn't, null if all had it."""
+    tasks = ledger(spark, sf).groupBy("task").agg(F.collect_set("person").alias("had"))
+    turns = ranked(tasks, [F.col("task")], "turn")
+    people = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.pmod(F.col("turn") + k, F.lit(9)))
+    free = F.filter(people, lambda p: ~F.array_contains("had", p))
+    return turns.select("task", F.get(free, 0).alias("person"))
 
 
 @query("target_quotas", "SELECT target, n FROM (VALUES ('a', 25), ('b', 13), ('c', 12)) AS v(target, n)")
