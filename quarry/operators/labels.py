@@ -21,9 +21,11 @@ def bands(confidence: Column, accept: float = 0.50, review: float = 0.35) -> tup
 
 def softmax_scores(vectors: DataFrame, weights: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """O-C9: id, the class of greatest probability and its probability; weights (class, w, b) are few."""
-    met = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).crossJoin(F.broadcast(weights))  # a row for each class
-    score = F.aggregate(F.zip_with("v", "w", lambda x, y: x.cast("double") * y), F.col("b"), lambda s, x: s + x)
-    rows = met.select("id", "class", score.alias("z")).groupBy("id").agg(F.max("z").alias("m"), F.collect_list(F.struct("z", "class")).alias("all"))
+    classes = weights.agg(F.collect_list(F.struct("class", "w", "b")).alias("classes")).scalar()  # one value, read once
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), classes.alias("classes"))
+    score = lambda c: F.aggregate(F.zip_with("v", c["w"], lambda x, y: x.cast("double") * y), c["b"], lambda s, x: s + x)
+    rows = rows.select("id", F.transform("classes", lambda c: F.struct(score(c).alias("z"), c["class"].alias("class"))).alias("all"))
+    rows = rows.select("id", "all", F.array_max(F.transform("all", lambda x: x["z"])).alias("m"))
     best = F.array_max(F.transform("all", lambda x: F.struct(x["z"].alias("z"), (-x["class"]).alias("c"))))
     total = F.aggregate(F.transform("all", lambda x: F.exp(x["z"] - F.col("m"))), F.lit(0.0), lambda s, x: s + x)
     return rows.select("id", (-best["c"]).alias("class"), (F.lit(1.0) / total).alias("confidence"))

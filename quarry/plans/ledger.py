@@ -141,19 +141,22 @@ def duels(spark, sf):
     return s.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg(F.col("won").cast("double")), 6).alias("win_rate"), F.count_if("tied").alias("n_tied"), F.round(F.avg(F.when(F.col("first"), F.col("won").cast("double"))), 6).alias("win_rate_first"))
 
 
-@query("ledger_flatten_json", "SELECT event_id, unnest(json_keys(props)) AS path FROM events")
+@query("ledger_flatten_json", "WITH k AS (SELECT event_id, unnest(json_keys(props)) AS path, props FROM events) SELECT event_id, path, json_extract_string(props, '$.' || path) AS value FROM k")
 def flatten_json(spark, sf):
-    """O-W9 for objects of scalars: one row for each leaf."""
-    held = table(spark, sf, "events").select("event_id", F.explode(F.json_object_keys("props")).alias("path"))
-    return held
+    """O-W9 for objects of scalars: path and value of each leaf."""
+    return table(spark, sf, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("path", "value"))
 
 
-@query("ledger_payload_diff", "WITH k AS (SELECT event_id, unnest(json_keys(props)) AS path, props FROM events), a AS (SELECT event_id, path, json_extract_string(props, '$.' || path) AS v FROM k) SELECT a.event_id, coalesce(a.path, b.path) AS path, a.v AS before, b.v AS after FROM a JOIN a b ON b.event_id = a.event_id + 1 AND a.path = b.path WHERE a.v IS DISTINCT FROM b.v")
+@query(
+    "ledger_payload_diff",
+    "WITH k AS (SELECT event_id, unnest(json_keys(props)) AS path, props FROM events), a AS (SELECT event_id, path, json_extract_string(props, '$.' || path) AS v FROM k), b AS (SELECT event_id - 1 AS event_id, path, v FROM a), d AS (SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(a.path, b.path) AS path, a.v AS before, b.v AS after FROM a FULL JOIN b ON a.event_id = b.event_id AND a.path = b.path WHERE a.v IS DISTINCT FROM b.v) SELECT * FROM d WHERE event_id IN (SELECT event_id FROM events) AND event_id + 1 IN (SELECT event_id FROM events)",
+)
 def payload_diff(spark, sf):
-    """O-W10: leaves that differ from the next payload's."""
-    leaves = table(spark, sf, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("path", "before"))
-    after = leaves.select((F.col("event_id") - 1).alias("event_id"), "path", F.col("before").alias("after"))
-    return leaves.join(after, ["event_id", "path"]).filter(~F.col("before").eqNullSafe(F.col("after"))).select("event_id", "path", "before", "after")
+    """O-W10: leaves that differ from the next payload's, added and removed ones too."""
+    held = table(spark, sf, "events").select("event_id", F.coalesce(F.from_json("props", "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>")).alias("old"))
+    met = held.join(held.select((F.col("event_id") - 1).alias("event_id"), F.col("old").alias("new")), "event_id")
+    leaves = F.map_zip_with("old", "new", lambda path, x, y: F.struct(x.alias("before"), y.alias("after")))
+    return met.select("event_id", F.explode(leaves).alias("path", "v")).select("event_id", "path", "v.*").filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
 @query("ledger_trail", LEDGER_SQL + "SELECT id, kind, person, sec FROM l WHERE task = 11")
