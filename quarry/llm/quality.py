@@ -16,7 +16,8 @@ their id, and words that at least ``MIN_ROWS`` of them hold. Everything else cov
 all documents. Null and empty texts have no features and get the score zero. A
 document with several labels takes the least grade; null labels and ids are left
 out. Without labels, or with one grade only, nothing can be told apart: every
-document gets the top grade's constant. Repeated rows get the same result.
+document gets the top grade's constant. Repeated rows get the same result. An empty
+table gives an empty result; further columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations

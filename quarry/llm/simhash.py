@@ -128,6 +128,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id reachable over links, null only where every id
     of the component is null. Repeated rows share a fingerprint and so a component.
+    An empty table gives an empty result; further columns, whatever their names, are
+    never read.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "prints")
     heads = materialise(prints.groupBy("fp").agg(F.min("key").alias("head")), "heads")
