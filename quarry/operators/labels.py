@@ -93,3 +93,15 @@ def response_errors(expected: DataFrame, received: DataFrame) -> DataFrame:
         )
     )
     return met.select("uid", errors.alias("errors")).filter(F.size("errors") > 0)
+
+
+def agreement_report(scales: dict[str, tuple[DataFrame, int, str]]) -> DataFrame:
+    """O-W8: ``weighted_agreement`` of each scale's pairs, one row a scale; a scale without pairs has none.
+
+    Scales are not merged: points of one have no place on another. Categories of a nominal scale may be of any type.
+    """
+    rows = None
+    for field, (pairs, categories, weights) in scales.items():
+        one = weighted_agreement(pairs.withColumn("field", F.lit(field)), ["field"], categories, weights)
+        rows = one if rows is None else rows.unionByName(one)
+    return rows

@@ -56,6 +56,19 @@ def allocate_quotas(quotas: dict[str, float], available: dict[str, int], total:
     return parts
 
 
+def allocate_bands(quota: int, available: dict[str, int], floor_share: float = 0.1) -> dict[str, int]:
+    """O-A6: a source's quota over its size bands: a share of the quota each where rows allow, the rest by what is left.
+
+    Fewer rows than the quota give all rows; floors that exceed a quota are kept, as each is below it.
+    """
+    parts = {k: min(n, int(floor_share * quota)) for k, n in available.items()}
+    while (rest := min(quota, sum(available.values())) - sum(parts.values())) > 0:
+        left = {k: available[k] - n for k, n in parts.items() if n < available[k]}
+        for k, more in largest_remainder(left, rest).items():
+            parts[k] += min(more, left[k])
+    return parts
+
+
 def stratified_sample(rows: DataFrame, stratum: str, key: str, parts: dict[str, int], seed: int = 0) -> DataFrame:
     """O-A7 to O-A10: of each stratum its share of rows, in a fixed pseudo-random order."""
     shares = rows.sparkSession.createDataFrame(list(parts.items()), f"{stratum} string, share long")

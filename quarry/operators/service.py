@@ -3,23 +3,33 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.vocabulary import DOMAINS, LICENSES, TASK_TYPES
 from quarry.operators.dedup import dot, norm
+from quarry.sources.scratch import scratch_dir
 
 
 @dataclass(frozen=True)
 class Filters:
-    """O-F1 to O-F11. Every field but ``members`` names a column or a range of one."""
+    """O-F1 to O-F11. Every field but ``q``, ``hits`` and ``members`` names a column or a range of one.
+
+    ``q`` is a full-text query over the column text; ``hits`` are the ids that it met, where they are known already.
+    """
 
     lang: list[str] | None = None
+    lang_variant: list[str] | None = None
     source: list[str] | None = None
     license: list[str] | None = None
     task_type: list[str] | None = None
     domain: list[str] | None = None
+    label_method: list[str] | None = None
     quality: list[int] | None = None
     quality_min: int | None = None
     nsfw: str = "exclude"
@@ -32,6 +42,8 @@ class Filters:
     n_chars_min: int | None = None
     n_chars_max: int | None = None
     members: DataFrame | None = field(default=None, compare=False)
+    q: str | None = None
+    hits: DataFrame | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
         if self.nsfw not in ("exclude", "include", "only") or self.pii not in ("any", "only", "none"):
@@ -40,9 +52,14 @@ class Filters:
             raise ValueError("quality_min is 1, 2 or 3")
         if None not in (self.n_chars_min, self.n_chars_max) and self.n_chars_min > self.n_chars_max:
             raise ValueError("n_chars_min is over n_chars_max")
+        for name, known in (("task_type", TASK_TYPES), ("domain", DOMAINS), ("license", [x[0] for x in LICENSES])):
+            if unknown := [v for v in getattr(self, name) or [] if v not in known]:
+                raise ValueError(f"unknown {name}: {unknown}")
+        if any(isinstance(v, bool) or v not in (1, 2, 3) for v in self.quality or []):
+            raise ValueError("quality is 1, 2 or 3")
 
 
-LISTS = ("lang", "source", "license", "task_type", "domain", "quality")
+LISTS = ("lang", "lang_variant", "source", "license", "task_type", "domain", "label_method", "quality")
 
 
 def apply_filters(rows: DataFrame, f: Filters, ignore: str | None = None) -> DataFrame:
@@ -60,15 +77,31 @@ def apply_filters(rows: DataFrame, f: Filters, ignore: str | None = None) -> Dat
     tests += [F.col("commercial_ok")] * f.commercial_only + [F.col("redistributable")] * f.redistributable_only
     if f.max_dups is not None:
         tests.append(F.col("n_exact_dups") <= f.max_dups)
-    if f.n_chars_min is not None:
+    if f.n_chars_min is not None and ignore != "n_chars_bucket":
         tests.append(F.col("n_chars") >= f.n_chars_min)
-    if f.n_chars_max is not None:
+    if f.n_chars_max is not None and ignore != "n_chars_bucket":
         tests.append(F.col("n_chars") <= f.n_chars_max)
+    if f.q is not None and f.hits is None and (words := parse_query(f.q)):
+        tests.append(matches(F.col("text"), words))
     for test in tests:
         rows = rows.filter(test)
+    if f.hits is not None:
+        rows = rows.join(f.hits.select("id"), "id", "left_semi")
     return rows if f.members is None else rows.join(f.members.select("id"), "id", "left_semi")
 
 
+def with_hits(rows: DataFrame, f: Filters) -> Filters:
+    """O-F10, O-X6: the filters with the ids that their query meets, searched and written once for all facets.
+
+    A query without words filters nothing. The ids lie in the shared scratch folder.
+    """
+    if f.q is None or not parse_query(f.q):
+        return f
+    folder = f"{scratch_dir(rows.sparkSession)}/hits-{uuid.uuid4().hex}"
+    search(rows, f.q).write.parquet(folder)
+    return replace(f, hits=rows.sparkSession.read.parquet(folder))
+
+
 def facets_joint(rows: DataFrame, columns: list[str]) -> DataFrame:
     """O-G2: counts by value of each column in one scan: facet, value, n."""
     held = rows.select(*[F.col(c).cast("string").alias(c) for c in columns])
@@ -85,7 +118,7 @@ def facets_unfiltered(rows: DataFrame, f: Filters, columns: list[str]) -> DataFr
 
     Columns without a filter share one scan; each filtered one has its own.
     """
-    own = [c for c in columns if getattr(f, c, None) is not None or (c == "quality" and f.quality_min is not None) or (c == "nsfw" and f.nsfw != "include")]
+    own = [c for c in columns if getattr(f, c, None) is not None or (c == "quality" and f.quality_min is not None) or (c == "nsfw" and f.nsfw != "include") or (c == "pii_found" and f.pii != "any") or (c == "n_chars_bucket" and (f.n_chars_min, f.n_chars_max) != (None, None))]
     shared = [c for c in columns if c not in own]
     parts = [facets_joint(apply_filters(rows, f), shared)] if shared else []
     parts += [apply_filters(rows, f, c).groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("facet"), "value", "n") for c in own]
@@ -171,11 +204,15 @@ def inverted_index(rows: DataFrame, id_col: str = "id", text_col: str = "text")
 def search(rows: DataFrame, q: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """O-X4: ids of rows that hold every word, phrase and prefix of a query."""
     wanted = parse_query(q)
-    padded = F.concat(F.lit(" "), F.array_join(terms(F.col(text_col)), " "), F.lit(" "))
-    found = rows.select(F.col(id_col).alias("id"), padded.alias("padded"))
-    for words, prefix in wanted:
-        found = found.filter(F.contains("padded", F.lit(" " + " ".join(words) + ("" if prefix else " "))))
-    return found.select("id") if wanted else found.select("id").limit(0)
+    found = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return found.filter(matches(F.col("text"), wanted)).select("id") if wanted else found.select("id").limit(0)
+
+
+def matches(text: Column, wanted: list[tuple[list[str], bool]]) -> Column:
+    """Whether a text holds all words, phrases and prefixes of a parsed query; its terms are made once."""
+    padded = F.concat(F.lit(" "), F.array_join(terms(text), " "), F.lit(" "))
+    parts = [F.lit(" " + " ".join(words) + ("" if prefix else " ")) for words, prefix in wanted]
+    return F.exists(F.array(padded), lambda p: reduce(and_, [F.contains(p, part) for part in parts]))
 
 
 def _times(word: str) -> Column:
@@ -263,3 +300,57 @@ def manifest(rows: DataFrame) -> DataFrame:
     )
     return one.crossJoin(rows.agg(blocked)).crossJoin(by("lang")).crossJoin(by("license"))  # one row each
 
+
+
+# The fields of an exported record, in their order.
+FLAT = [
+    "uid", "text", "lang", "lang_variant", "task_type", "domain", "quality", "nsfw", "pii_found", "source", "source_id", "license", "commercial_ok", "redistributable",
+    "attribution", "label_method", "label_confidence", "needs_review", "edited", "n_chars", "n_words", "n_exact_dups", "n_near_dups", "country", "model_family", "created_ts",
+    "native_category", "taxonomy_version",
+]
+
+
+def flat_records(rows: DataFrame, attribution: DataFrame, taxonomy_version: str, include_original: bool = False) -> DataFrame:
+    """O-E6: the export record; ``attribution`` has one row a source. A null text_original means that the text never changed."""
+    met = rows.join(attribution.select("source", "attribution"), "source", "left").withColumn("taxonomy_version", F.lit(taxonomy_version))
+    original = [F.coalesce("text_original", "text").alias("text_original")] if include_original else []
+    return met.select(*FLAT, *original)
+
+
+def memberships(items: DataFrame, collections: DataFrame) -> DataFrame:
+    """O-Q12: id, names: the collections that hold an item, ordered by name; repeated rows count once."""
+    named = items.select("id", "collection").distinct().join(collections, "collection")
+    return named.groupBy("id").agg(F.sort_array(F.collect_list("name")).alias("names"))
+
+
+def similarity_envelope(allowed: DataFrame, vectors: DataFrame, query: list[float], k: int) -> DataFrame:
+    """O-V6: one row: candidates with a vector, rows without one, k, how many are returned, the best similarity."""
+    met = allowed.select("id").join(vectors.select(F.col("vec_id").alias("id"), F.lit(True).alias("held")), "id", "left")
+    counts = met.agg(F.count("held").alias("n_candidates"), F.count_if(F.col("held").isNull()).alias("n_without_vector"))
+    best = top_similar(vectors.join(allowed.select(F.col("id").alias("vec_id")), "vec_id", "left_semi"), query, k)
+    return counts.crossJoin(best.agg(F.count("*").alias("n_returned"), F.max("similarity").alias("best"))).withColumn("k", F.lit(k))  # one row each
+
+
+def top_similar_blocks(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """O-V4: ``top_similar`` by matrix products over Arrow batches; each gives its k best, so k rows a batch are sorted.
+
+    A float32 matrix is scored in doubles, which keeps the ranking. Rows without a vector are left out.
+    """
+
+    def score(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        q = np.asarray(query, dtype=np.float64)
+        q_norm = np.linalg.norm(q)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, len(q))
+            similarity = block @ q / np.maximum(np.linalg.norm(block, axis=1) * q_norm, 1e-12)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            best = np.lexsort((ids, -similarity))[:k]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best], pa.int64()), pa.array(similarity[best])], names=["id", "similarity"])
+
+    held = vectors.select(F.col(id_col).cast("long"), F.col(vec_col)).filter(F.col(vec_col).isNotNull())
+    return held.mapInArrow(score, "id long, similarity double").orderBy(F.desc("similarity"), "id").limit(k)

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-from quarry.plans import curation, dedup, ledger, labels, sampling, service, serving, sources, text, workflow  # noqa: E402,F401
+from quarry.plans import curation, dedup, ledger, labels, sampling, service, serving, sources, text, views, workflow  # noqa: E402,F401

@@ -10,7 +10,7 @@ from quarry.plans.registry import query
 from quarry.sources.corpus import CORPUS_SQL, corpus, table
 
 C = "WITH " + CORPUS_SQL
-FACETS = ["lang", "source", "license", "task_type", "domain", "quality", "nsfw", "pii_found", "edited"]
+FACETS = ["lang", "lang_variant", "source", "license", "task_type", "domain", "label_method", "quality", "nsfw", "needs_review", "edited", "pii_found", "n_chars_bucket"]
 
 
 def _by(columns, where="true"):
@@ -23,7 +23,7 @@ def facets_joint(spark, sf):
 
 
 F1 = s.Filters(lang=["en", "fr"], quality_min=2, nsfw="exclude", commercial_only=True, n_chars_min=50)
-_TESTS = {"lang": "lang IN ('en', 'fr')", "quality": "quality >= 2", "nsfw": "nsfw IS DISTINCT FROM true", "": "commercial_ok AND n_chars >= 50"}
+_TESTS = {"lang": "lang IN ('en', 'fr')", "quality": "quality >= 2", "nsfw": "nsfw IS DISTINCT FROM true", "n_chars_bucket": "n_chars >= 50", "": "commercial_ok"}
 
 
 @query("facets_self_removed", C + _by(FACETS, lambda c: " AND ".join(v for k, v in _TESTS.items() if k != c)))

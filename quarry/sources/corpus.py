@@ -6,10 +6,11 @@ flag. Provenance that the tables lack follows from the id by fixed rules.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as t
+from quarry.functions.language import dialect, dialect_scores
 from quarry.functions.vocabulary import DOMAINS, LICENSES, TASK_TYPES
 
 COUNTRIES = ["Brazil", "Portugal", "Angola"]
@@ -20,11 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: list[str], at) -> F.Column:
+def _pick(values: list[str], at) -> Column:
     """The value at a place counted from 0; null beyond the last."""
     return F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
 
 
+def _variant(text: Column, country: Column) -> Column:
+    """The dialect of a text. As variables of lambdas the scores are made once, outside of generated code, which they would outgrow."""
+    scored = F.transform(F.array(F.struct(text.alias("t"), country.alias("c"))), lambda x: F.struct(*[s.alias(n) for n, s in zip(("br", "pt"), dialect_scores(x["t"], x["c"]))]))
+    return F.get(F.transform(scored, lambda x: dialect(x["br"], x["pt"])[0]), 0)
+
+
 def license_policy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LICENSES, "license string, commercial_ok boolean, redistributable boolean, license_rank int")
 
@@ -48,8 +55,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(MODELS, F.pmod(i, F.lit(6))).alias("model"),
         F.when(F.pmod(i, F.lit(7)) != 0, F.concat(F.lit("202"), F.pmod(i, F.lit(4)), F.lit("-01-0"), F.pmod(i, F.lit(9)) + 1, F.lit("T00:00:00Z"))).alias("created_ts"),
         (F.pmod(i, F.lit(11)) == 0).alias("edited"),
-        body.rlike(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]").alias("pii_found"),
+        (F.contains(body, F.lit("@")) & body.rlike(r"[A-Za-z0-9_.+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]")).alias("pii_found"),
         F.length(body).cast("long").alias("n_chars"),
+        F.when(F.length(body) < 120, "curto").when(F.length(body) < 600, "medio").otherwise("longo").alias("n_chars_bucket"),
+        F.when(F.col("lang") == "pt", _variant(body, _pick(COUNTRIES, F.pmod(i, F.lit(4))))).alias("lang_variant"),
         t.n_words(body).alias("n_words"),
     )
     rows = rows.join(F.broadcast(license_policy(spark)), "license", "left").join(labels.withColumnRenamed("doc_id", "id"), "id", "left")
@@ -57,6 +66,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[c for c in rows.columns if c not in ("q", "x")],
         (F.col("q") + 1 + F.pmod("id", F.lit(2))).cast("int").alias("quality"),
         (F.col("x") == 1).alias("nsfw"),
+        F.when(F.col("q").isNotNull(), "manual").when(F.col("task_type").isNotNull(), "native").alias("label_method"),
         (F.col("task_type").isNull() | F.col("domain").isNull()).alias("needs_review"),
     )
 
@@ -72,7 +82,9 @@ CORPUS_SQL = f"""c AS (
     {_listed(COUNTRIES)}[d.doc_id % 4 + 1] AS country, {_listed(MODELS)}[d.doc_id % 6 + 1] AS model,
     CASE WHEN d.doc_id % 7 <> 0 THEN '202' || (d.doc_id % 4) || '-01-0' || (d.doc_id % 9 + 1) || 'T00:00:00Z' END AS created_ts,
     d.doc_id % 11 = 0 AS edited, regexp_matches(coalesce(d.text, ''), '[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9-]') AS pii_found,
-    length(coalesce(d.text, '')) AS n_chars,
+    length(coalesce(d.text, '')) AS n_chars, CASE WHEN length(coalesce(d.text, '')) < 120 THEN 'curto' WHEN length(coalesce(d.text, '')) < 600 THEN 'medio' ELSE 'longo' END AS n_chars_bucket,
+    CASE WHEN lang = 'pt' THEN CAST(error('the dialect of Portuguese rows has no SQL') AS VARCHAR) END AS lang_variant,
+    CASE WHEN l.q IS NOT NULL THEN 'manual' WHEN d.doc_id % 17 <> 16 THEN 'native' END AS label_method,
     len(list_filter(regexp_split_to_array(coalesce(d.text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS n_words,
     p.commercial_ok, p.redistributable, p.license_rank, CAST(l.q + 1 + d.doc_id % 2 AS INTEGER) AS quality, l.x = 1 AS nsfw,
     (d.doc_id % 17 = 16 OR d.doc_id * 7 % 17 = 16) AS needs_review

@@ -102,3 +102,25 @@ def resolve_sources(names: list[str] | None, known: list[str]) -> list[str]:
         if n.replace("-", "_") not in plain:
             raise ValueError(f"unknown source {n}; known: {', '.join(known)}")
     return [plain[n.replace("-", "_")] for n in names]
+
+
+def scan_raw(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """O-S2: the rows of every raw file but the pools, with the file's stem as source_file.
+
+    Pools are left out by file name, which Spark prunes before it opens a file.
+    """
+    rows = spark.read.option("pathGlobFilter", pattern).parquet(folder)
+    rows = rows.filter(~F.col("_metadata.file_path").rlike(r"_pool\.parquet(/[^/]*)?$"))
+    return rows.withColumn("source_file", F.regexp_extract("_metadata.file_path", r"([^/]+)\.parquet(?:/[^/]*)?$", 1))
+
+
+def iso_text(stamp: Column) -> Column:
+    """O-S7: ISO text of a timestamp, fractions of a second only where there are any; null gives an empty text."""
+    whole = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(stamp, "SSSSSS")
+    return F.when(stamp.isNull(), "").when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+
+
+def compact_meta(meta: Column) -> Column:
+    """O-S7: compact JSON of a map, nulls kept; null and empty maps give {}."""
+    return F.when(meta.isNull() | (F.size(meta) == 0), "{}").otherwise(F.to_json(meta, {"ignoreNullFields": "false"}))
