@@ -87,6 +87,42 @@ OTHERS = ["AO", "AGO", "ANGOLA", "MZ", "MOZ", "MOZAMBIQUE", "MOCAMBIQUE", "CV",
 MIN_TOTAL, MIN_MARGIN = 2.0, 0.25
 
 
+def required_literal(pattern: str) -> str:
+    """The longest run of plain letters that every match of a pattern must hold; empty where none is certain.
+
+    Only what stands outside of groups and classes counts; a letter that may be absent ends a run before it.
+    """
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c, step = pattern[i], 1
+        plain = c.isalnum() or c in " -,"
+        if depth == 0 and plain:
+            run += c
+        else:
+            if c in "?*{":  # the unit before may be absent
+                run = run[:-1]
+            runs, run = [*runs, run], ""
+            if c == "\\":
+                step = 2
+            elif c == "[":
+                step = pattern.index("]", i) - i + 1
+            elif c == "{":
+                step = pattern.index("}", i) - i + 1
+            elif c in "()":
+                depth += 1 if c == "(" else -1
+            elif c == "|" and depth == 0:
+                return ""
+        i += step
+    return max([*runs, run], key=len)
+
+
+def _guarded_count(low: Column, pattern: str) -> Column:
+    """Matches of a pattern; a text without the letters that any match needs is not searched by the regex."""
+    found = F.regexp_count(low, F.lit("(?U)" + pattern))
+    need = required_literal(pattern)
+    return F.when(F.contains(low, F.lit(need)), found).otherwise(0) if need else found
+
+
 def dialect_scores(text: Column, country: Column) -> tuple[Column, Column]:
     """O-L5, O-L6: the Brazilian and European totals of a text and its author's country."""
     from quarry.functions.text import country_key
@@ -95,7 +131,7 @@ def dialect_scores(text: Column, country: Column) -> tuple[Column, Column]:
     key = country_key(country)
     br, pt = F.when(key.isin(BRAZIL), 2.0).otherwise(0.0), F.when(key.isin(PORTUGAL), 2.0).when(key.isin(OTHERS), 1.0).otherwise(0.0)
     for brazilian, european, w_br, cap_br, w_pt, cap_pt in DIALECT:
-        count = lambda patterns: sum((F.regexp_count(low, F.lit("(?U)" + p)) for p in patterns), F.lit(0))
+        count = lambda patterns: sum((_guarded_count(low, p) for p in patterns), F.lit(0))
         br, pt = br + F.least(count(brazilian) * w_br, F.lit(cap_br)), pt + F.least(count(european) * w_pt, F.lit(cap_pt))
     return br, pt
 

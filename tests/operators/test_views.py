@@ -79,3 +79,25 @@ def test_blocks_rank_as_the_plain_search(spark):
 def test_variant_of_portuguese_texts(spark):
     rows = spark.createDataFrame([("Você pegou o ônibus? O time está jogando e meu celular sumiu.", "Brazil"), ("Tens o telemóvel? O autocarro está a chegar e o comboio não.", "Portugal"), ("nada", None)], "t string, c string")
     assert [x[0] for x in rows.select(_variant(F.col("t"), F.col("c"))).collect()] == ["pt-BR", "pt-PT", "pt-indef"]
+
+
+def test_guards_change_no_count(spark):
+    """Texts made of the cues' own letters, so that guards pass and fail around real matches."""
+    import random
+
+    from quarry.functions import language
+
+    patterns = [p for br, pt, *_ in language.DIALECT for p in br + pt]
+    assert language.required_literal(r"\busuári[oa]s?\b") == "usuári" and language.required_literal(r"\bvocês?\b") == "você" and language.required_literal(r"a|b") == ""
+    words = sorted({w for p in patterns for w in "".join(c if c.isalpha() or c == "-" else " " for c in p.replace("\\b", " ").replace("\\w", " ").replace("\\s", " ")).split()})
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", "s", "a", "ando", ", pá!", " a ver", "-me"]) for _ in range(40)) for _ in range(150)] + ["", "a gente está a fazer, pá!"]
+    rows = spark.createDataFrame([(x.lower(),) for x in texts], "t string")
+    met = 0
+    for i in range(0, len(patterns), 20):  # few enough regexes a plan
+        got = rows.select(*[F.struct(language._guarded_count(F.col("t"), p), F.regexp_count("t", F.lit("(?U)" + p))) for p in patterns[i : i + 20]]).collect()
+        for row in got:
+            for guarded, plain in row:
+                assert guarded == plain
+                met += plain > 0
+    assert met > 500
