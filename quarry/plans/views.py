@@ -103,7 +103,7 @@ _FLAT_SQL = {
     + ", c.text AS text_original FROM c JOIN e USING (id) JOIN f ON f.model = c.model WHERE e.kept AND redistributable",
 )
 def export_flat(spark, sf):
-    """O-E6, O-E7: the flat record of every row that may be redistributed, copies left out."""
+    """O-E6, O-E7: the flat record of every row that may be redistributed, exact copies left out; no near pass runs here, so n_near_dups is 0."""
     copies = deduped(spark, sf).filter("kept").select("id", "n_exact_dups")
     method = F.col("label_method")
     rows = s.export_rows(corpus(spark, sf)).join(copies, "id").withColumns({
