@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quarry.sources.scratch import scratch_dir
+from quarry.operators import cosine
+from quarry.sources.scratch import kept
 
 UNKNOWN_SOURCE = 1 << 20
 
@@ -79,41 +80,53 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def cosine_pairs(vectors: DataFrame, at_least: float, id_col: str = "vec_id", vec_col: str = "embedding", part_col: str = "label", blocks: int = 16) -> DataFrame:
-    """O-D8: every pair a < b within a partition whose cosine is at least ``at_least``.
+def cosine_pairs(vectors: DataFrame, at_least: float, id_col: str = "vec_id", vec_col: str = "embedding", part_col: str = "label", blocks: int | None = None) -> DataFrame:
+    """O-D8: part, a, b, cosine: every pair a < b within a partition whose cosine is at least ``at_least``.
 
-    Exact, and so quadratic in a partition by nature. Each partition is cut into
-    ``blocks`` by id; a pair of blocks is one unit of work, so a large partition
-    is spread over ``blocks * (blocks + 1) / 2`` tasks and no task holds it whole.
+    Exact, and so quadratic in a partition by nature. Each partition is cut into blocks
+    by id (``blocks`` of them, or as many as its size asks for); a pair of blocks is one
+    unit of work, multiplied as matrices, so no task holds a partition whole.
     """
-    # As the variable of a lambda the norm is computed once a vector, not once an element.
-    length = F.array(F.greatest(norm(F.col(vec_col)), F.lit(1e-12)))
-    unit = F.get(F.transform(length, lambda n: F.transform(F.col(vec_col), lambda x: x / n)), 0)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(part_col).alias("part"), unit.alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    cell = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    spread = rows.withColumn("other", other).withColumn("cell", cell)
-    a, b = spread.alias("a"), spread.alias("b")
-    same = (F.col("a.part") == F.col("b.part")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id"))
-    once = (F.col("a.block") != F.col("b.block")) | (F.col("a.block") == F.col("a.other"))
-    return a.join(b, same & once).select(F.col("a.part").alias("part"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), dot(F.col("a.v"), F.col("b.v")).alias("cosine")).filter(F.col("cosine") >= at_least)
+    rows = vectors.select(id_col, vec_col, part_col)
+    kind, part = rows.schema[id_col].dataType.simpleString(), rows.schema[part_col].dataType.simpleString()
+    return cosine.map_cells(cosine.cells(rows, id_col, vec_col, part_col, blocks), cosine.pairs_of(at_least), f"part {part}, a {kind}, b {kind}, cosine double")
+
+
+def cosine_links(
+    vectors: DataFrame, at_least: float, least_jaccard: float | None = None, most_ratio: float = 2.0, id_col: str = "vec_id", vec_col: str = "embedding", part_col: str = "label", blocks: int | None = None
+) -> DataFrame:
+    """O-D11: edges (a, b) whose components are those of all pairs that ``cosine_pairs`` gives.
+
+    With ``least_jaccard`` the pairs are those that columns tokens and n_chars confirm too
+    (tokens by 64-bit hashes); rows without a text have no pair. An edge needn't be a pair:
+    each unit of work gives a star for each of its components, so a group of m rows gives
+    about m edges for each block, where its pairs grow with the square.
+    """
+    rows = vectors.select(id_col, vec_col, part_col)
+    if least_jaccard is not None:
+        hashed = F.array_distinct(F.transform("tokens", lambda x: F.xxhash64(x)))
+        rows = vectors.filter("tokens IS NOT NULL AND n_chars IS NOT NULL").select(id_col, vec_col, part_col, hashed.alias("tokens"), "n_chars")
+    kind = rows.schema[id_col].dataType.simpleString()
+    return cosine.map_cells(cosine.cells(rows, id_col, vec_col, part_col, blocks), cosine.links_of(at_least, least_jaccard, most_ratio), f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """O-D12: node, root for nodes of edges (a, b): the least node reachable, of any ordered type.
 
     Least labels travel along the edges and then along themselves (a label's own
-    label), until nothing changes. Each round's labels are checkpointed. Labels that
-    still change after ``rounds`` rounds are an error, never a result.
+    label), until nothing changes. The edges and each round's labels are written to the
+    shared folder, so each is computed once. Labels that still change after ``rounds``
+    rounds are an error, never a result.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = kept(edges.select("a", "b"))
+    both = kept(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-    labels, total = _kept(labels), None
+    labels, total = kept(labels), None
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         moved = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "near").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        labels = _kept(moved.join(jump, "root", "left").select("node", F.coalesce("further", "root").alias("root")))
+        labels = kept(moved.join(jump, "root", "left").select("node", F.coalesce("further", "root").alias("root")))
         now = labels.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
         if now == total:
             return labels
@@ -121,14 +134,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components still change after {rounds} rounds")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def alike(cosine: Column, a: Column, b: Column, least_cosine: float, least_jaccard: float, most_ratio: float) -> Column:
     """O-D11: close vectors, and token sets and lengths that confirm it. ``a``, ``b`` hold tokens, n_chars."""
     return (cosine >= least_cosine) & (jaccard(a["tokens"], b["tokens"]) >= least_jaccard) & (length_ratio(a["n_chars"], b["n_chars"]) <= most_ratio)
@@ -148,7 +153,7 @@ def near_dedup(pairs: DataFrame, canonical: DataFrame, vectors: DataFrame, at_le
     ``pairwise`` every member of a component but its canonical one goes; with it, a member
     that isn't clear stays. n_near_dups counts, on the canonical row, those that went.
     ``canonical`` has node and its order; ``vectors`` has node, v and, where texts count
-    too, tokens and n_chars.
+    too, tokens and n_chars. ``pairs`` may be any edges with the components of the pairs.
     """
     found = components(pairs).join(canonical, "node")
     best = found.groupBy("root").agg(F.min_by("node", "order").alias("canonical"))
@@ -156,8 +161,8 @@ def near_dedup(pairs: DataFrame, canonical: DataFrame, vectors: DataFrame, at_le
     held = vectors.select("node", F.struct(*[c for c in vectors.columns if c != "node"]).alias("mine"))
     met = found.select("root", "node").join(best, "root").join(held, "node").join(held.toDF("canonical", "theirs"), "canonical")
     a, b = F.col("mine"), F.col("theirs")
-    cosine = dot(a["v"], b["v"]) / F.greatest(norm(a["v"]) * norm(b["v"]), F.lit(1e-12))
-    clear = alike(cosine, a, b, at_least, least_jaccard, most_ratio) if texts else cosine >= at_least
+    angle = dot(a["v"], b["v"]) / F.greatest(norm(a["v"]) * norm(b["v"]), F.lit(1e-12))
+    clear = alike(angle, a, b, at_least, least_jaccard, most_ratio) if texts else angle >= at_least
     told = met.select("node", "canonical", clear.alias("clear"))
     told = told.withColumn("removed", (F.col("node") != F.col("canonical")) & (F.col("clear") if pairwise else F.lit(True)))
     went = told.filter("removed").groupBy(F.col("canonical").alias("node")).agg(F.count("*").alias("n_near_dups"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -16,3 +17,11 @@ def scratch_dir(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again: its lineage ends, and it is computed once."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/quarry-{spark.sparkContext.applicationId}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -67,6 +67,71 @@ def test_near_chain(spark):
     assert sorted((r.node, r.removed, r.n_near_dups) for r in dedup.near_dedup(sure, order, vectors.join(texts, "node"), 0.985).collect()) == [(1, False, 1), (2, True, 0)]
 
 
+def cosine_rows(spark, n=300, seed=5):
+    """Vectors in three groups and a lone partition, with copies, a zero vector, NaN, nulls and repeated ids."""
+    import numpy as np
+
+    made = np.random.default_rng(seed)
+    rows = [(int(i), [float(x) for x in np.float32(made.normal(size=6))], int(i % 3)) for i in range(n)]
+    rows += [(n + i, rows[7][1], 1) for i in range(40)] + [(n + 40, [0.0] * 6, 1), (n + 41, None, 1), (n + 42, rows[0][1], None), (None, rows[0][1], 0), (n + 43, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (n + 44, [1.0, 2.0], 0), (7, rows[7][1], 1), (n + 45, [float("nan")] * 6, 9), (n + 46, [1.0] * 6, 9)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), rows
+
+
+def brute_pairs(rows, at_least):
+    import numpy as np
+
+    held = [(i, np.array(v, float), p) for i, v, p in rows if i is not None and v is not None and p is not None and None not in v]
+    unit = [v / max(np.sqrt((v * v).sum()), 1e-12) for _, v, _ in held]
+    return {(a[0], b[0]) for x, a in enumerate(held) for y, b in enumerate(held) if a[2] == b[2] and a[0] < b[0] and len(a[1]) == len(b[1]) and not unit[x] @ unit[y] < at_least}
+
+
+def least_reachable(pairs):
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_cosine_pairs_and_links_against_all_pairs(spark):
+    """No elementwise products in the plan; links have the pairs' components in linear number."""
+    frame, rows = cosine_rows(spark)
+    for at_least, blocks in ((0.8, 1), (0.8, 3), (0.9, 2), (0.95, None)):
+        want = brute_pairs(rows, at_least)
+        pairs = dedup.cosine_pairs(frame, at_least, blocks=blocks)
+        assert "zip_with" not in pairs._jdf.queryExecution().toString()
+        assert {(r.a, r.b) for r in pairs.collect()} == want
+        links = dedup.cosine_links(frame, at_least, blocks=blocks)
+        assert {r.node: r.root for r in dedup.components(links).collect()} == least_reachable(want)
+    assert dedup.cosine_links(frame, 0.8, blocks=1).count() < frame.count() < len(brute_pairs(rows, 0.8))
+    assert dedup.cosine_pairs(frame.limit(0), 0.8).count() == dedup.cosine_links(frame.limit(0), 0.8).count() == 0
+
+
+def test_cosine_links_that_texts_confirm(spark):
+    frame, rows = cosine_rows(spark)
+    told = [(i, sorted({"abcdefghij"[(i * k) % 10] for k in range(i % 5)}), i % 7) for i in range(350)]
+    texts = spark.createDataFrame([*told, (0, None, 3)][1:], "vec_id long, tokens array<string>, n_chars int")
+    like = {"least_jaccard": 0.4, "most_ratio": 2.0}
+    sure = dedup.confirm_pairs(dedup.cosine_pairs(frame, 0.5), texts.withColumnRenamed("vec_id", "node"), **like)
+    want = least_reachable({(r.a, r.b) for r in sure.collect()})
+    for blocks in (1, 3):
+        got = dedup.components(dedup.cosine_links(frame.join(texts, "vec_id"), 0.5, blocks=blocks, **like))
+        assert {r.node: r.root for r in got.collect()} == want and len(want) > 100
+
+
+def test_components_compute_their_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long").mapInArrow(count, "a long, b long")
+    assert {r.root for r in dedup.components(edges).collect()} == {0}
+    assert seen.value == 30
+
+
 def agreement(spark, pairs, weights):
     rows = spark.createDataFrame([("f", a, b) for a, b in pairs], "f string, a long, b long")
     return labels.weighted_agreement(rows, ["f"], 5, weights).first()
