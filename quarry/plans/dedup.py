@@ -119,7 +119,7 @@ def cosine_pairs(spark, sf):
 r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a) SELECT node, min(reached) AS root FROM r GROUP BY node""",
 )
 def components(spark, sf):
-    return d.components(d.cosine_pairs(table(spark, sf, "embeddings"), 0.4))
+    return d.components(d.cosine_links(table(spark, sf, "embeddings"), 0.4))
 
 
 # Thresholds that leave rows: the invented vectors are not of the documents' texts.
