@@ -10,6 +10,7 @@ from quarry.operators.service import Filters, apply_filters, page
 from quarry.plans.registry import query
 from quarry.plans.text import KEY
 from quarry.sources.corpus import CORPUS_SQL, corpus, table
+from quarry.sources.scratch import kept
 
 EXACT_SQL = (
     "WITH "
@@ -138,10 +139,10 @@ def near(spark, sf, pairwise):
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     rows = table(spark, sf, "embeddings").join(docs, "vec_id", "left")
-    nodes = rows.select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"), F.array_distinct(F.split(text, " ")).alias("tokens"), F.length(text).alias("n_chars"))
-    order = rows.select(F.col("vec_id").alias("node"), F.struct(F.pmod("vec_id", F.lit(3)), F.col("vec_id")).alias("order"))
-    pairs = d.confirm_pairs(d.cosine_pairs(table(spark, sf, "embeddings"), 0.3), nodes, **LIKE)
-    return d.near_dedup(pairs, order, nodes, 0.3, pairwise, **LIKE)
+    held = kept(rows.select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"), "label", F.array_distinct(F.split(text, " ")).alias("tokens"), F.length(text).alias("n_chars")))
+    order = held.select("node", F.struct(F.pmod("node", F.lit(3)), F.col("node")).alias("order"))
+    links = d.cosine_links(held, 0.3, id_col="node", vec_col="v", **LIKE)
+    return d.near_dedup(links, order, held.drop("label"), 0.3, pairwise, **LIKE)
 
 
 @query("dedup_near_pairwise", NEAR_SQL + _NEAR_ROWS.format("clear"))
