@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -104,14 +106,21 @@ def resolve_sources(names: list[str] | None, known: list[str]) -> list[str]:
     return [plain[n.replace("-", "_")] for n in names]
 
 
+#: A raw table's name in a path: a file, or a folder of part files that may lie under key=value folders.
+_STEM = r"([^/]+)\.parquet(?:/[^/=]+=[^/]*)*(?:/[^/]*)?$"
+
+
 def scan_raw(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """O-S2: the rows of every raw file but the pools, with the file's stem as source_file.
+    """O-S2: the rows of every raw table but the pools, with the table's stem as source_file.
 
-    Pools are left out by file name, which Spark prunes before it opens a file.
+    A table is a file or a folder of part files, as Spark writes it; ``pattern`` names
+    tables, not part files. Pools are left out by name, which Spark prunes before it
+    opens a file.
     """
-    rows = spark.read.option("pathGlobFilter", pattern).parquet(folder)
-    rows = rows.filter(~F.col("_metadata.file_path").rlike(r"_pool\.parquet(/[^/]*)?$"))
-    return rows.withColumn("source_file", F.regexp_extract("_metadata.file_path", r"([^/]+)\.parquet(?:/[^/]*)?$", 1))
+    plain = re.sub(r"([\\\[\]{}*?])", r"\\\1", folder.rstrip("/"))
+    rows = spark.read.parquet(f"{plain}/{pattern}")
+    rows = rows.filter(~F.endswith(F.regexp_extract("_metadata.file_path", _STEM, 1), F.lit("_pool")))
+    return rows.withColumn("source_file", F.regexp_extract("_metadata.file_path", _STEM, 1))
 
 
 def iso_text(stamp: Column) -> Column:

@@ -46,6 +46,17 @@ def test_raw_scan_leaves_pools_out(spark, tmp_path):
     assert files == 6 and got == {"a": 3, "b": 3}
 
 
+def test_raw_scan_of_files_and_folders(spark, tmp_path):
+    """A table may be a file or a folder of part files, beside others, in a folder whose name looks like a pattern."""
+    top = tmp_path / "in [a]"
+    for name in ("docs", "docs_b", "docs_pool", "other"):
+        spark.range(6).repartition(2).write.parquet(str(top / f"{name}.parquet"))
+    spark.range(6).withColumn("k", F.col("id") % 2).write.partitionBy("k").parquet(str(top / "keyed.parquet"))
+    next((top / "docs_b.parquet").glob("part-*")).rename(top / "docs_d.parquet")
+    got = {x.source_file: x.n for p in ("docs*.parquet", "keyed.parquet") for x in raw.scan_raw(spark, str(top), p).groupBy("source_file").agg(F.count("*").alias("n")).collect()}
+    assert got == {"docs": 6, "docs_b": 3, "docs_d": 3, "keyed": 6}
+
+
 def test_stamps(spark):
     rows = spark.createDataFrame([(datetime.datetime(2024, 1, 2, 3, 4, 5), {"a": "é", "b": None}), (datetime.datetime(2024, 1, 2, 3, 4, 5, 60), {}), (None, None)], "ts timestamp, meta map<string,string>")
     got = [tuple(x) for x in rows.select(raw.iso_text(F.col("ts")), raw.compact_meta(F.col("meta"))).collect()]
