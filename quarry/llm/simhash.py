@@ -11,8 +11,10 @@ hashing without false negatives").
 Null and empty texts have no features; their fingerprint is zero and links like
 any other. Equal fingerprints are one node, so copies are never paired.
 
-The pipeline's near-duplicate stage uses no fingerprints: pairs of a Jaccard
-similarity meet exactly, through the prefixes of their shingle sets.
+The pipeline's near-duplicate stage takes its first links from the fingerprints, and
+an exact check of shingle sets confirms them. A Jaccard similarity of 0.8 moves more
+bits than a radius of 2 holds, so pairs that these links don't connect meet exactly
+as well, through the prefixes of their shingle sets.
 """
 
 from __future__ import annotations
@@ -336,17 +338,32 @@ def _verified(candidates: DataFrame, marks: DataFrame, docs: DataFrame, id_col:
     return materialise(map_arrow(met.select(*_PAIR, "sa", "sb"), _similar(similarity), pair), "verified")
 
 
+def fingerprint_pairs(docs: DataFrame, id_col: str, text_col: str, radius: int = 2) -> DataFrame:
+    """Pairs (ka, kb) of row keys' 64 bits whose components are those of all fingerprints within ``radius`` bits.
+
+    Fingerprints, covering tables and crowded buckets are those of ``near_duplicates``;
+    rows of one fingerprint meet its least row.
+    """
+    prints = materialise(_mapped(docs, F.xxhash64(row_key(id_col, text_col)), text_col, [fingerprint], "fp").distinct(), "prints")
+    heads = materialise(prints.groupBy("fp").agg(F.min("key").alias("head")), "heads")
+    met = links(heads.select("fp"), radius).join(heads.toDF("a", "ka"), "a").join(heads.toDF("b", "kb"), "b").select("ka", "kb")
+    equal = prints.join(heads, "fp").filter("key <> head").select(F.col("head").alias("ka"), F.col("key").alias("kb"))
+    return materialise(met.unionByName(equal), "fingerprint-pairs")
+
+
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Rows (row, id, times listed) and verified edges (a, b) between row keys.
 
     The edges' components are those of all pairs whose shingle sets have an exact
-    Jaccard similarity of at least ``similarity``. Equal sets are one node. Sets
-    that similar share a shingle of their prefixes (rarest first), and so meet in a
-    list. Each member is first compared with the hub of each of its lists, the member
-    that meets most others over all its lists (the original of edited copies, where there
-    is one); then every pair of a list that the edges found so far do not connect,
+    Jaccard similarity of at least ``similarity``. Equal sets are one node. Pairs whose
+    SimHash fingerprints are close are compared first. Sets that similar share a
+    shingle of their prefixes (rarest first), and so meet in a list. Where those edges
+    don't connect them, each member is compared with the hub of each of its lists, the
+    member that meets most others over all its lists (the original of edited copies, where
+    there is one); then every pair of a list that the edges found so far do not connect,
     where the places of the shared shingle leave room for the similarity.
     """
+    close = fingerprint_pairs(docs, id_col, text_col)
     marks = materialise(_marks(docs, id_col, text_col, shingle, similarity), "marks")
     heads = materialise(marks.groupBy("digest").agg(F.min("k").alias("head"), F.max("k").alias("tail")).filter("head < tail").select("digest", "head"), "heads")
     alike = materialise(marks.select("digest", "row", "k").join(broadcast_if_small(heads), "digest").select("digest", "row", "k", "head"), "alike")
@@ -357,13 +374,17 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     postings = nodes.select("k", "n", F.posexplode("prefix").alias("at", "token"))
     tokens = postings.groupBy("token").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("held")).filter("first < last").select("token", "held")
     lists = materialise(postings.join(broadcast_if_small(materialise(tokens, "tokens")), "token").distinct(), "lists")
-    marked = lists.select("k").distinct()
+    marked = lists.select("k").union(close.select("ka")).union(close.select("kb")).distinct()
     marked = materialise(marks.select("k", "row", "n", "parity", "wide").join(broadcast_if_small(materialise(marked, "listed")), "k", "left_semi").dropDuplicates(["row"]), "marked")
 
+    alike_prints = _verified(close, marked, docs, id_col, text_col, shingle, similarity)
+    joined = broadcast_if_small(materialise(connected_components(alike_prints.select("ka", "kb")), "joined"))
+
     fame = lists.groupBy("k").agg(F.sum("held").alias("fame"))
     hubs = lists.select("token", "k").join(fame, "k").groupBy("token").agg(F.max(F.struct("fame", "k")).alias("best")).select("token", F.col("best.k").alias("ka"))
-    stars = lists.select("token", F.col("k").alias("kb")).join(broadcast_if_small(materialise(hubs, "hubs")), "token").select("ka", "kb")
-    near = _verified(stars.filter("ka <> kb").distinct(), marked, docs, id_col, text_col, shingle, similarity)
+    stars = lists.select("token", F.col("k").alias("kb")).join(broadcast_if_small(materialise(hubs, "hubs")), "token").select("ka", "kb").filter("ka <> kb").distinct()
+    stars = stars.join(joined.toDF("ka", "ra"), "ka", "left").join(joined.toDF("kb", "rb"), "kb", "left").filter("ra IS NULL OR rb IS NULL OR ra <> rb").select("ka", "kb")
+    near = materialise(alike_prints.unionByName(_verified(stars, marked, docs, id_col, text_col, shingle, similarity)), "near")
 
     roots = connected_components(near.select("ka", "kb")).withColumnRenamed("node", "k")
     placed = lists.select("token", "k", "n", "at").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))

@@ -55,3 +55,24 @@ def test_run_with_odd_and_empty_tables(spark, odd, no_docs, small, tmp_path):
     # 1 and 2 differ in case and spaces; 3, 4 and the second null id are blank, as is 5.
     assert sorted((r.doc_id for r in got), key=repr) == sorted([1, 3, 6, 7, 8, 9, None], key=repr)
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_near_dedup_stage_takes_links_from_fingerprints(spark, small, monkeypatch):
+    """Close fingerprints link documents by themselves, and the exact check keeps those apart whose sets aren't similar."""
+    import random
+
+    from quarry.llm import simhash
+
+    made, rows = random.Random(3), []
+    while len(rows) < 20:
+        words = ["w%d" % made.randrange(5000) for _ in range(1500)]
+        one, two = " ".join(words), " ".join(words[:-1] + ["end"])
+        if (simhash.fingerprint(one) ^ simhash.fingerprint(two)).bit_count() <= 2:
+            rows += [(len(rows), one), (len(rows) + 1, two)]
+    # One three-word shingle repeated: equal fingerprints, unlike sets of five-word shingles.
+    rows += [(100, "a a a a"), (101, "a a a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.fingerprint("a a a a") == simhash.fingerprint("a a a")
+    monkeypatch.setattr(simhash, "prefix", lambda found, *_: found[:0])  # no candidates but by fingerprints
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, small).collect())
+    assert got == [*range(0, 20, 2), 100, 101]
