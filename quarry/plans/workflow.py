@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarry.functions import text as t
+from quarry.operators.fragments import shared_fragments
 from quarry.operators.sampling import ranked
 from quarry.plans.ledger import LEDGER_SQL, ledger
 from quarry.plans.registry import query
@@ -122,15 +123,8 @@ _GRAMS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x
 )
 def disclosure_probe(spark, sf):
     """O-E12: fragments of eight words of one table that stand in another."""
-
-    def grams(df, key):
-        words = F.filter(F.split(F.coalesce("text", F.lit("")), t.SPACE), lambda w: w != "")
-        held = df.select(key, words.alias("w")).filter(F.size("w") >= 8)
-        return held.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " "))).alias("gram"))
-
-    protected = grams(table(spark, sf, "conversations"), "conv_id").select("gram").distinct()
-    shown = grams(table(spark, sf, "documents"), "doc_id").distinct()
-    return shown.join(protected, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_fragments"))
+    shared = shared_fragments(table(spark, sf, "documents"), table(spark, sf, "conversations"), "doc_id")
+    return shared.groupBy("doc_id").agg(F.count("*").alias("n_fragments"))
 
 
 @query("delivery_records", LEDGER_SQL + "SELECT task, count(*) AS n, array_to_string(list(person || ':' || score ORDER BY id), ',') AS ratings FROM l WHERE kind = 'purchase' GROUP BY task")

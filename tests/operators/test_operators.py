@@ -207,3 +207,30 @@ def test_components_of_string_ids_and_their_limit(spark):
     assert {r.root for r in components(chain).collect()} == {"n000", "z1"}
     with pytest.raises(RuntimeError):
         components(chain, rounds=2)
+
+
+def test_shared_fragments_against_sets(spark):
+    """Nulls, blanks, short texts, repeated ids, repeated fragments, odd spaces; no shuffle carries what can't be shared."""
+    import random
+
+    from quarry.operators import fragments
+
+    made = random.Random(1)
+    word = lambda: made.choice(["a", "b", "é", "日本", "Aa"])
+    text = lambda n: made.choice([" ", "\n", " \t"]).join(word() for _ in range(n))
+    shown = [(made.randrange(60), text(made.randrange(40))) for _ in range(200)] + [(61, None), (62, ""), (None, "x1 x2 x3"), (None, " x1 x2\x0bx3 x4")]
+    known = [text(12) for _ in range(40)] + [None, "", "x1 x2 x3 x4 x5"]
+
+    def grams(t, n=4):
+        w = (t or "").encode().split()
+        return {b" ".join(w[i : i + n]).decode() for i in range(len(w) - n + 1)}
+
+    held = set().union(*map(grams, known))
+    want = {(k, g) for k, t in shown for g in grams(t) & held}
+    frames = spark.createDataFrame(shown, "doc_id long, text string"), spark.createDataFrame([(t,) for t in known], "text string")
+    got = [(r.doc_id, r.gram) for r in fragments.shared_fragments(*frames, "doc_id", 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50 and (None, "x1 x2 x3 x4") in want
+    assert fragments.shared_fragments(frames[0], frames[1].limit(0), "doc_id", 4).count() == 0
+    rare = spark.createDataFrame([(i, " ".join(f"{i}-{k}" for k in range(50))) for i in range(100)], "doc_id long, text string")
+    bitmap = fragments._bitmap(fragments._hashes(frames[1], 4), 300)
+    assert fragments._left(rare, "doc_id", 4, bitmap).count() < 470  # of 4,700 fragments
