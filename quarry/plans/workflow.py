@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarry.functions import text as t
-from quarry.operators.fragments import shared_fragments
+from quarry.operators.fragments import shared_counts
 from quarry.operators.sampling import ranked
 from quarry.plans.ledger import LEDGER_SQL, ledger
 from quarry.plans.registry import query
@@ -123,8 +123,7 @@ _GRAMS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x
 )
 def disclosure_probe(spark, sf):
     """O-E12: fragments of eight words of one table that stand in another."""
-    shared = shared_fragments(table(spark, sf, "documents"), table(spark, sf, "conversations"), "doc_id")
-    return shared.groupBy("doc_id").agg(F.count("*").alias("n_fragments"))
+    return shared_counts(table(spark, sf, "documents"), table(spark, sf, "conversations"), "doc_id")
 
 
 @query("delivery_records", LEDGER_SQL + "SELECT task, count(*) AS n, array_to_string(list(person || ':' || score ORDER BY id), ',') AS ratings FROM l WHERE kind = 'purchase' GROUP BY task")

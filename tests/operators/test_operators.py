@@ -234,3 +234,41 @@ def test_shared_fragments_against_sets(spark):
     rare = spark.createDataFrame([(i, " ".join(f"{i}-{k}" for k in range(50))) for i in range(100)], "doc_id long, text string")
     bitmap = fragments._bitmap(fragments._hashes(frames[1], 4), 300)
     assert fragments._left(rare, "doc_id", 4, bitmap).count() < 470  # of 4,700 fragments
+
+
+def test_shared_fragments_when_the_bitmap_is_full(spark, monkeypatch):
+    """A bitmap far too small for the protected table: what it lets pass is not written as text."""
+    from quarry.operators import fragments
+
+    written, write = [], fragments.kept
+    monkeypatch.setattr(fragments, "kept", lambda df: written.append(write(df)) or written[-1])
+    monkeypatch.setattr(fragments, "MOST_BITS", 1 << 15)
+    table = lambda mark, rows: spark.createDataFrame([(i, " ".join(f"{mark}{i}-{k}" for k in range(1000))) for i in range(rows)], "doc_id long, text string")
+    shown = table("s", 20).union(spark.createDataFrame([(99, "p3-4 p3-5\np3-6  p3-7 p3-8")], "doc_id long, text string"))
+    assert {tuple(r) for r in fragments.shared_fragments(shown, table("p", 200), "doc_id", 4).collect()} == {(99, "p3-4 p3-5 p3-6 p3-7"), (99, "p3-5 p3-6 p3-7 p3-8")}
+    assert sum(w.count() for w in written) < 200  # of 19,942 fragments
+
+
+def test_shared_counts_on_every_path(spark, monkeypatch):
+    """Many ranges, small blocks; codes sent or as a bitmap, texts broadcast or shuffled; long words, repeated and null keys."""
+    import random
+
+    from quarry.operators import fragments
+
+    made = random.Random(2)
+    text = lambda n: made.choice([" ", "\x0b", "\r\n "]).join(made.choice(["a", "b", "é", "日本", "z" * 70_000]) for _ in range(n))
+    shown = [(made.choice([None, *range(30)]), text(made.randrange(25))) for _ in range(120)] + [(31, None), (32, "a\x1fb c")]
+    known = [text(9) for _ in range(30)] + [None, ""]
+    grams = lambda t: {b" ".join(w[i : i + 3]) for w in [(t or "").encode().split()] for i in range(len(w) - 2)}
+    held, want = set().union(*map(grams, known)), {}
+    for k, t in shown:
+        want.setdefault(k, set()).update(grams(t) & held)
+    want = {k: len(g) for k, g in want.items() if g}
+    frames = spark.createDataFrame(shown, "doc_id long, text string"), spark.createDataFrame([(t,) for t in known], "text string")
+    assert len(want) > 20
+    for codes, sent, rows in ((1 << 21, 1 << 22, 200_000), (1000, 0, 0), (50, 1 << 22, 0)):
+        monkeypatch.setattr(fragments, "CODES", codes)
+        monkeypatch.setattr(fragments, "SENT", sent)
+        monkeypatch.setattr(fragments, "BROADCAST_ROWS", rows)
+        got = [tuple(r) for r in fragments.shared_counts(*frames, "doc_id", 3).collect()]
+        assert len(got) == len(want) and dict(got) == want
